@@ -3,7 +3,8 @@
 Each source gets a share of all words; a document is then due share / size copies, a number with a fraction. Whole
 copies are taken as they are. The fractions are rounded by pivotal sampling: two documents at a time pass words to each
 other, at random but fair odds, until one of them has a whole number of copies. The words that a source is due are kept
-by every such step, so in the end a source misses its target by less than one document.
+by every such step, and long documents come first, so that the one left undecided at the end is a short one; it goes to
+the nearer whole number. A source misses its target by less than that document.
 
 Documents meet in chunks of bounded size; each chunk leaves at most one undecided document, and these meet in chunks
 again, level by level, until one is left per source. Odds come from hashes of ids, so reruns agree however the rows
@@ -97,7 +98,7 @@ def _rounded(docs: DataFrame, seed: int) -> DataFrame:
     """docs (rid, skey, chunk, chunks, size, due) with due 0 or 1 but for one row of a chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rid", "size", "due"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "rid", "due"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         pdf["due"], _ = pivot(pdf["rid"].tolist(), pdf["size"].tolist(), pdf["due"], seed)
         return pdf
 
@@ -121,8 +122,7 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
         level = checkpointed(_rounded(level.withColumn("chunk", F.floor(F.col("chunk") / FAN).cast("bigint")).withColumn("chunks", less), seed))
         done.append(level.filter("due <= 0 or due >= 1"))
         level = level.filter("due > 0 and due < 1")
-    last = F.pmod(F.xxhash64(F.col("rid"), F.lit(seed + 1)), F.lit(2**30)) / F.lit(2.0**30)
-    out = level.withColumn("due", F.when(last < F.col("due"), 1.0).otherwise(0.0))
+    out = level.withColumn("due", F.when(F.col("due") >= 0.5, 1.0).otherwise(0.0))
     for d in done:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.round("due").cast("bigint")).alias("copies")

@@ -20,11 +20,11 @@ QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_mixing)}
 #: Words are parted by ASCII white space: the pattern stands for a run of it.
 _PLAIN = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-  list_filter(string_split(t, chr(10)), x -> regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') AS l FROM d)"""
+w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') AS l FROM d)"""
 
 SQL: dict[str, str] = {
-    "op5_quality_rules": _PLAIN.replace("WITH", "WITH", 1) + """,
+    "op5_quality_rules": _PLAIN + """,
 k AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM k) WHERE c > 1) GROUP BY doc_id),
 m AS (SELECT w.doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,

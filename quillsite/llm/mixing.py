@@ -129,3 +129,15 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     return out.select("doc_id", "size", "source_size", "target", copies, (F.col("size") * copies).alias("taken"))
 
 
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """docs with each row as often as the mix takes it; column copy counts from 1. Rows that aren't taken are gone."""
+    taken = plan(docs, id, text, source, **how)
+    alike = Window.partitionBy("_id", "_size")
+    rows = docs.withColumns({"_id": F.col(f"`{id}`"), "_size": F.size(words_of(F.col(f"`{text}`"))).cast("bigint")})
+    rows = rows.withColumn("_n", F.row_number().over(alike.orderBy(F.col(f"`{text}`"))))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies").withColumn("_n", F.row_number().over(alike.orderBy(F.desc("copies"))))
+    taken = taken.filter("copies > 0").toDF("_id2", "_size2", "copies", "_n2")
+    met = rows.join(taken, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_size") == F.col("_size2")) & (F.col("_n") == F.col("_n2")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns), "copy")

@@ -2,20 +2,57 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+import corpus_pipeline
+
+from . import decontaminate, html_text, language, mixing, pseudonyms, quality, simhash, substrings, toxicity, url_filter
 from .common import table
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op5_quality_rules(spark, sf_dir):
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*cols)
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark, sf_dir):
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_mixing)}
+def op9_pseudonyms(spark, sf_dir):
+    return pseudonyms.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 #: Words are parted by ASCII white space: the pattern stands for a run of it.
 _PLAIN = """
@@ -38,5 +75,13 @@ p AS (SELECT mean, least(greatest(chance / spread - 1, 1.0), 1000.0) AS weight F
 v AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM h, p)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AND (NOT failed OR rate < 0.02) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+""",
+    "op10_decontaminate": """
+WITH x AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM x),
+s AS (SELECT DISTINCT kind, id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS s FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n)::BIGINT AS n_item, count(*) / any_value(n.n) AS containment
+FROM s AS i JOIN s AS d ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 """,
 }

@@ -36,23 +36,24 @@ DIM, SIZES, EPOCHS, RATE, DECAY = 1 << 15, (3, 4, 5), 300, 0.5, 1e-4
 
 def labelled() -> list[tuple[str, str, int]]:
     """The training table: (host, path, 1 if blocked), about 3300 rows made of the words above by a fixed rule."""
-    rows, n = [], len(BLOCKED_WORDS)
-    paths = ("", "/", "/en/12", "/de/404.html", "/fr/7", "/es/31/", "/index.html")
-    front = ("", "www.", "m.", "blog.", "shop.", "")
+    rows, n, m, a = [], len(BLOCKED_WORDS), len(SYLLABLES), len(ALLOWED_WORDS)
+
+    def plain(i: int) -> str:  # paths say nothing about the class unless they hold a word
+        return "" if i % 13 == 0 else f"/{('en/', 'de/', 'fr/', 'es/', '')[i * 7 % 5]}{i * 7919 % 1000}{('', '.html', '/')[i * 11 % 3]}"
+
+    def host(name: str, i: int) -> str:
+        return f"{('', 'www.', 'm.', 'blog.', 'shop.')[i * 3 % 5]}{name}.{SUFFIXES[i * 5 % 6]}"
+
     for i, word in enumerate(BLOCKED_WORDS):
-        for k in range(8):
-            name = (word, f"{word}-{BLOCKED_WORDS[(i + 5 * k + 1) % n]}", f"{BLOCKED_WORDS[(i + 7 * k + 3) % n]}-{word}", f"{word}-x", f"{word}{k}", f"best-{word}", f"{word}online", f"my{word}")[k]
-            rows.append((f"{front[(i + k) % 6]}{name}.{SUFFIXES[(i + k) % 6]}", paths[(3 * i + k) % 7], 1))
-        rows.append((f"{front[i % 6]}{ALLOWED_WORDS[i % len(ALLOWED_WORDS)]}.{SUFFIXES[i % 6]}", f"/{word}/{BLOCKED_WORDS[(i + 1) % n]}-{i}.html", 1))
+        names = (word, f"{word}-{BLOCKED_WORDS[(5 * i + 1) % n]}", f"{BLOCKED_WORDS[(7 * i + 3) % n]}-{word}", f"{word}-x", f"{word}{i}", f"best-{word}", f"{word}online", f"my{word}")
+        rows += [(host(x, 8 * i + k), plain(8 * i + k), 1) for k, x in enumerate(names)]
+        rows.append((host(ALLOWED_WORDS[i % a], i), f"/{word}/{BLOCKED_WORDS[(i + 1) % n]}{plain(i)}", 1))
     for i, word in enumerate(ALLOWED_WORDS):
-        for k in range(8):
-            name = (word, f"{word}-{ALLOWED_WORDS[(i + 3 * k + 1) % len(ALLOWED_WORDS)]}", f"the{word}", f"{word}{k}", f"{word}s", f"my-{word}", f"{word}online", f"{word}-{SYLLABLES[i % len(SYLLABLES)]}")[k]
-            rows.append((f"{front[(i + k) % 6]}{name}.{SUFFIXES[(i + k) % 6]}", (*paths, f"/{word}/{i}")[(3 * i + k) % 8], 0))
-    m = len(SYLLABLES)
+        names = (word, f"{word}-{ALLOWED_WORDS[(3 * i + 1) % a]}", f"the{word}", f"{word}{i}", f"best-{word}", f"my-{word}", f"{word}online", f"{word}-{SYLLABLES[i % m]}")
+        rows += [(host(x, 8 * i + k), (plain(8 * i + k), f"/{ALLOWED_WORDS[(i + k) % a]}{plain(i)}")[k % 4 == 3], 0) for k, x in enumerate(names)]
     for i in range(2400):
-        a, b = divmod(i * 37 % (m * m), m)
-        name = "".join(SYLLABLES[k % m] for k in (a, b, 7 * a + b + i // m, a + 11 * b)[: 2 + i % 3])
-        rows.append((f"{front[i % 6]}{name}.{SUFFIXES[(i // 6) % 6]}", paths[(i // 5) % 7], 0))
+        x, y = divmod(i * 37 % (m * m), m)
+        rows.append((host("".join(SYLLABLES[k % m] for k in (x, y, 7 * x + y + i // m, x + 11 * y)[: 2 + i % 3]), i), plain(i), 0))
     return rows
 
 

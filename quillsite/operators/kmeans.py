@@ -71,11 +71,14 @@ def relocated(centroids: np.ndarray, counts: np.ndarray, seed: int = 0, thin: fl
     return out
 
 
-def fit(sf: SiteFrame, k: int, iterations: int = 20, tolerance: float = 1e-4, least_rows: int = 1, start: np.ndarray | None = None, relocate: bool = False) -> tuple[np.ndarray, list[float]]:
-    """Centroids, and the mean distance at each iteration; ends when that hardly changes. One job an iteration."""
+def fit(sf: SiteFrame, k: int, iterations: int = 20, tolerance: float = 1e-4, least_rows: int = 1, start: np.ndarray | None = None, relocate: bool = False, aggregate=None) -> tuple[np.ndarray, list[float]]:
+    """Centroids, and the mean distance at each iteration; ends when that hardly changes. One job an iteration.
+
+    aggregate: a function of the table of site_sums() that gives the table of step(), instead of sums over counts.
+    """
     centroids, seen = sharded_start(sf, k) if start is None else np.array(start, float), []
     for i in range(iterations):
-        rows = step(sf, centroids, least_rows).collect()
+        rows = (aggregate(site_sums(sf, centroids, least_rows)) if aggregate else step(sf, centroids, least_rows)).collect()
         counts, mean = np.zeros(k), 0.0
         for r in rows:
             centroids[r["cluster"]] = [r[x] for x in sf.features]

@@ -156,3 +156,16 @@ def cyclic_batch(sf: SiteFrame, size: int, step: int) -> SiteFrame:
     own = Window.partitionBy(sf.site)
     df = sf.df.withColumn("_n", F.row_number().over(own.orderBy(sf.id)) - 1).withColumn("_of", F.count("*").over(own))
     return sf.having(df.filter(F.pmod(F.col("_n") - step * size, F.col("_of")) < size).drop("_n", "_of"))
+
+
+def to_long(sf: SiteFrame) -> DataFrame:
+    """(site, row_id, pos, value) of the features that aren't zero: the form for sparse tables."""
+    rows = sf.df.select(F.col(sf.site).alias("site"), F.col(sf.id).alias("row_id"), F.posexplode(F.array(*sf.features)).alias("pos", "value"))
+    return rows.filter("value <> 0")
+
+
+def project_long(long: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """(site, row_id, out, value): sparse rows times a matrix, whose entries other than zero are broadcast."""
+    i, j = np.nonzero(matrix)
+    entries = long.sparkSession.createDataFrame([(int(a), int(b), float(matrix[a, b])) for a, b in zip(i, j)], "pos int, out int, coef double")
+    return long.join(F.broadcast(entries), "pos").groupBy("site", "row_id", "out").agg(F.sum(F.col("value") * F.col("coef")).alias("value"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import cross_entropy, sigmoid
 from ..sources.sites import SiteFrame
+from . import linear, stats
 
 #: All coalitions are listed up to this many sites.
 MOST_SITES = 12
@@ -106,3 +109,55 @@ def greedy_sites(sites: list[int], utility: Callable[[list[int]], float]) -> lis
         last = max(best, last)
     whole = sum(g for _, g in chosen) or 1.0
     return [(s, g / whole) for s, g in chosen]
+
+
+def site_matrices(sf: SiteFrame) -> dict[int, np.ndarray]:
+    """The cross-product matrix of 1, the features and y of each site, on the driver."""
+    at = {n: i for i, n in enumerate(["1", *sf.features, "y"])}
+    out: dict[int, np.ndarray] = {}
+    for r in stats.gram(sf).collect():
+        m = out.setdefault(r[sf.site], np.zeros((len(at),) * 2))
+        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["value"]
+    return out
+
+
+def ridge_utility(own: dict[int, np.ndarray], validation: np.ndarray, sites: list[int], ridge: float = 1e-2) -> float:
+    """1 minus the share of y² that a ridge regression of the sites' summed products leaves on the validation products."""
+    g, v = sum(own[s] for s in sites), validation
+    w = np.linalg.solve(g[:-1, :-1] + ridge * np.eye(len(g) - 1), g[:-1, -1])
+    return float(1 - (v[-1, -1] - 2 * w @ v[:-1, -1] + w @ v[:-1, :-1] @ w) / v[-1, -1])
+
+
+def coalition_errors(validation: SiteFrame, weights: dict[int, np.ndarray]) -> DataFrame:
+    """(mask, error): the mean cross entropy of the logistic weights of each coalition on the validation rows, in one job."""
+    spark, n = validation.df.sparkSession, len(validation.features) + 1
+    table = spark.createDataFrame([(int(m), *map(float, w)) for m, w in weights.items()], "mask bigint, " + ", ".join(f"_w{j} double" for j in range(n)))
+    score = F.col("_w0")
+    for j, x in enumerate(validation.features):
+        score = score + F.col(x) * F.col(f"_w{j + 1}")
+    met = validation.df.join(F.broadcast(table))  # at most 2 ** MOST_SITES rows of weights
+    return met.groupBy("mask").agg(F.avg(cross_entropy(sigmoid(score), F.col(validation.target))).alias("error"))
+
+
+def online(train: SiteFrame, validation: SiteFrame, steps: int = 3, rate: float = 0.5) -> tuple[DataFrame, linear.Linear]:
+    """(step, site, value) of the steps of a logistic regression, and the model.
+
+    At each step every coalition's weights are the old ones moved by its members' mean gradients; what they lower the
+    validation error by is shared out by Shapley values.
+    """
+    spark = train.df.sparkSession
+    w, history = np.zeros(len(train.features) + 1), None
+    for step in range(steps):
+        rows = linear.gradients(train, {"": w}, sigmoid).collect()
+        own = {r["site"]: np.array([r[f"g_0_{j}"] for j in range(len(w))]) / r["n"] for r in rows}
+        order = sorted(own)
+        members = {m: [s for i, s in enumerate(order) if m >> i & 1] for m in range(1 << len(order))}
+        if len(order) > MOST_SITES:
+            raise ValueError(f"more than {MOST_SITES} sites have too many coalitions")
+        weights = {m: w - rate * np.mean([own[s] for s in g], axis=0) if g else w for m, g in members.items()}
+        errors = {r["mask"]: r["error"] for r in coalition_errors(validation, weights).collect()}
+        gains = spark.createDataFrame([(m, errors[0] - e) for m, e in errors.items() if m], "mask bigint, utility double")
+        found = shares(shapley(gains, len(order)), shift=True).collect()
+        part = spark.createDataFrame([(step, int(order[r["site"]]), float(r["value"])) for r in found], "step int, site int, value double")
+        history, w = part if history is None else history.unionByName(part), weights[len(members) - 1]
+    return history, linear.Linear({"": w}, train.features, "sigmoid")

@@ -267,6 +267,13 @@ def proj_bucket(spark, d):
     return _projected(spark, d, _BUCKET)
 
 
+@query(f"WITH {em(8)}, l AS ({union(f"SELECT site, row_id, {i} AS pos, {x} AS value FROM f WHERE abs({x}) > 0.2e0" for i, x in enumerate(es(8)))}), m AS ({union(f"SELECT {a} AS pos, {b} AS o" for a, b in zip(*np.nonzero(_BUCKET)))}) SELECT site, row_id, o AS out, {r('sum(value)')} AS value FROM l JOIN m ON m.pos = l.pos GROUP BY site, row_id, o")
+def proj_sparse_long(spark, d):
+    """Sparse rows (values beyond 0.2) added up into buckets."""
+    long = preprocess.to_long(sites.embeddings(spark, d, 8)).filter("abs(value) > 0.2")
+    return rounded(preprocess.project_long(long, _BUCKET), "value")
+
+
 @query(f"WITH {em(8)} {_gram_sql(es(8), False)}")
 def pca_gram(spark, d):
     return rounded(stats.gram(sites.embeddings(spark, d, 8), by_site=False), "value", k=4)
@@ -797,22 +804,18 @@ def greedy_sites(spark, d):
     Utilities come from one table of cross products for each site, so the rows are read twice in all.
     """
     train, val = _halves(spark, d)
-    names = ["1", *XS, "y"]
-    at = {n: i for i, n in enumerate(names)}
-    own: dict[int, np.ndarray] = {}
-    for x in stats.gram(train).collect():
-        m = own.setdefault(x["site"], np.zeros((6, 6)))
-        m[at[x["a"]], at[x["b"]]] = m[at[x["b"]], at[x["a"]]] = x["value"]
-    v = stats.matrix(stats.gram(val, by_site=False), names)
-
-    def utility(chosen):
-        g = sum(own[s] for s in chosen)
-        w = np.linalg.solve(g[:-1, :-1] + 1e-2 * np.eye(5), g[:-1, -1])
-        return 1 - (v[5, 5] - 2 * w @ v[:5, 5] + w @ v[:5, :5] @ w) / v[5, 5]
-
+    own = value.site_matrices(train)
+    v = stats.matrix(stats.gram(val, by_site=False), ["1", *XS, "y"])
+    utility = lambda chosen: value.ridge_utility(own, v, chosen)
     return table_of(spark, [(i, s, round(float(x), 6)) for i, (s, x) in enumerate(value.greedy_sites(sorted(own), utility))], "step int, site int, gain double")
 
 
+@query()
+def online_value(spark, d):
+    history, _ = value.online(*_halves(spark, d), steps=2)
+    return rounded(history, "value", k=5)
+
+
 # Aggregators of models.
 
 _SW = f"{LI}, g AS (SELECT site, count(*) + 0.01e0 AS a, sum(x1) AS b, sum(x1 * x1) + 0.01e0 AS c, sum(y) AS u, sum(x1 * y) AS v FROM f GROUP BY site), w AS (SELECT site, 0 AS pos, (u * c - b * v) / (a * c - b * b) AS w FROM g UNION ALL SELECT site, 1, (a * v - b * u) / (a * c - b * b) FROM g)"

@@ -32,9 +32,9 @@ def gradients(sf: SiteFrame, weights: dict[str, np.ndarray], link, target=None)
 
 
 def combined(parts: DataFrame, how: str = "site_mean") -> DataFrame:
-    """One row: the mean over sites of their mean gradients, or the sum over rows by the number of rows."""
+    """One row: the mean (site_mean) or sum (site_sum) of the sites' mean gradients, or the mean over all rows (rows)."""
     names = [c for c in parts.columns if c.startswith("g_")]
-    one = (lambda c: F.avg(F.col(c) / F.col("n"))) if how == "site_mean" else (lambda c: F.sum(c) / F.sum("n"))
+    one = {"site_mean": lambda c: F.avg(F.col(c) / F.col("n")), "site_sum": lambda c: F.sum(F.col(c) / F.col("n")), "rows": lambda c: F.sum(c) / F.sum("n")}[how]
     return parts.agg(*(one(c).alias(c) for c in names))
 
 

@@ -32,6 +32,18 @@ def data_check(df: DataFrame, kinds: dict[str, tuple], site: str = "site") -> Da
     return sums.select(site, "n_rows", rows.alias("r")).select(site, "r.column", "r.kind", "n_rows", "r.n_bad")
 
 
+def check_report(found: DataFrame, site: str = "site") -> DataFrame:
+    """(site, report) of a data_check() table: one line for each column with errors; empty where all is well."""
+    line = F.when(F.col("n_bad") > 0, F.concat_ws(" ", "column", F.lit("("), "kind", F.lit(")"), F.col("n_bad").cast("string"), F.lit("of"), F.col("n_rows").cast("string"), F.lit("wrong")))
+    return found.groupBy(site).agg(F.array_join(F.sort_array(F.collect_list(line)), "; ").alias("report"))
+
+
+def unknown_categories(df: DataFrame, column: str, values: list[str], site: str = "site") -> DataFrame:
+    """(site, unknown): the sorted values of each site that aren't declared."""
+    seen = df.filter(F.col(column).isNotNull()).groupBy(site).agg(F.collect_set(column).alias("seen"))
+    return seen.select(site, F.sort_array(F.array_except("seen", F.array(*map(F.lit, values)))).alias("unknown"))
+
+
 def numeric(column: Column) -> Column:
     """A number of a text; missing for the empty text; what is no number raises."""
     return F.nullif(column.cast("string"), F.lit("")).cast("double")

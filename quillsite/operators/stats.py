@@ -107,6 +107,13 @@ def class_counts(sf: SiteFrame, label: str) -> DataFrame:
     return sf.df.rollup(sf.site, label).agg(F.count("*").alias("n")).withColumnRenamed(label, "class")
 
 
+def class_weights(sf: SiteFrame, label: str) -> DataFrame:
+    """(class, n, weight): what balances classes, rows / (classes * rows of the class)."""
+    counts = sf.df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
+    return counts.join(F.broadcast(whole)).select("class", "n", (F.col("rows") / (F.col("classes") * F.col("n"))).alias("weight"))
+
+
 def site_statistics(sf: SiteFrame, normalised: bool = False) -> DataFrame:
     """(site, stat, pos, value): rxy, meanx, medianx, stdx, skewx, kurx, perc25, perc75 by feature; npatterns; staty.
 

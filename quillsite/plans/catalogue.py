@@ -185,6 +185,22 @@ def data_check(spark, d):
     return preprocess.data_check(df, {"bal": ("num",), "code": ("num",), "rich": ("bin",), "segment": ("cat", SEGMENTS)})
 
 
+@query(SQL["data_check"].join(["WITH z AS (", ") SELECT site, coalesce(string_agg(CASE WHEN n_bad > 0 THEN concat_ws(' ', \"column\", '(', kind, ')', n_bad, 'of', n_rows, 'wrong') END, '; ' ORDER BY \"column\"), '') AS report FROM z GROUP BY site"]))
+def data_check_report(spark, d):
+    return preprocess.check_report(data_check(spark, d))
+
+
+@query(f"SELECT CAST(c_nationkey % 4 AS INT) AS site, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FILTER (c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')), '') AS unknown FROM customer GROUP BY 1")
+def unknown_categories(spark, d):
+    df = sites.table(spark, d, "customer").withColumn("site", sites.site_of(F.col("c_nationkey")))
+    return preprocess.unknown_categories(df, "c_mktsegment", SEGMENTS[:2]).select("site", F.array_join("unknown", ",").alias("unknown"))
+
+
+@query(f"WITH {LI} SELECT class, count(*) AS n, {r('(SELECT count(*) FROM f) / ((SELECT count(DISTINCT class) FROM f) * count(*))')} AS weight FROM f GROUP BY class")
+def class_weights(spark, d):
+    return rounded(stats.class_weights(sites.lineitem(spark, d), "class"), "weight")
+
+
 def _one_hot_sql(c, values):
     return ", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} = '{v}' THEN 1e0 ELSE 0e0 END AS \"{c}_{v}\"" for v in values)
 
@@ -839,6 +855,12 @@ def model_median(spark, d):
     return rounded(networks.averaged(_site_weights(spark, d), "median"), "w")
 
 
+@query(_descent_sql("sigmoid", 2, 0.5 * 4) + _weights_sql(5, 2))
+def lc_site_sum(spark, d):
+    """Two steps along the summed gradients of the four sites."""
+    return _weights(spark, linear.descend(sites.lineitem(spark, d), "sigmoid", steps=2, rate=0.5, combine="site_sum"))
+
+
 @query(_descent_sql("sigmoid", 2, 0.5, 0.9) + _weights_sql(5, 2))
 def server_sgd(spark, d):
     """Two steps of the server's gradient descent with momentum, written out with server_step."""

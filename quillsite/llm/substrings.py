@@ -71,6 +71,18 @@ def least(values: np.ndarray, n: int) -> np.ndarray:
     return at
 
 
+def _first_of_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair, the index of the first one that equals it."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((b, a))  # stable: equal pairs stay in order
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    first = np.empty(len(a), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return first
+
+
 class Block:
     """The documents of a block as one sequence of words, with its phrases.
 
@@ -125,14 +137,8 @@ class Block:
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the first phrase of each kind, and for each phrase the index of its first."""
-        if not len(self.a):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        order = np.lexsort((self.b, self.a))  # stable: equal phrases stay in document order
-        a, b = self.a[order], self.b[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = np.empty(len(a), np.int64)
-        first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return np.flatnonzero(first == np.arange(len(a))), first
+        first = _first_of_equal(self.a, self.b)
+        return np.flatnonzero(first == np.arange(len(self.a))), first
 
 
 def _sortable(x: np.ndarray) -> np.ndarray:
@@ -207,7 +213,12 @@ def _parse(key, docs: pa.Table, found: pa.Table) -> pa.Table:
     for k in words:
         w1, w2 = w1 * R1 + block.h1[i + k], w2 * R2 + block.h2[i + k]
     wd, wat = block.places(i) if len(i) else (np.zeros(0, np.int64),) * 2
-    windows = (_fixed([mixed(w1).astype(">u8"), mixed(w2).astype(">u8")]), wd, wat, np.full(len(i), WINDOW), wd, wat)
+    # Of equal windows in this block only the first goes to the others; the rest are copies of it here and now.
+    head = _first_of_equal(w1, w2)
+    own = head == np.arange(len(i))
+    windows = (_fixed([mixed(w1[own]).astype(">u8"), mixed(w2[own]).astype(">u8")]), wd[own], wat[own], np.full(own.sum(), WINDOW), wd[own], wat[own])
+    late = (wd[~own], wat[~own], np.full((~own).sum(), WINDOW), wd[head[~own]], wat[head[~own]])
+    rows = tuple(np.concatenate(x) for x in zip(rows, late))
     spans = (_fixed([_sortable(rows[0]), _sortable(rows[1]), np.zeros(len(rows[0]), ">u8")]), *rows)
     pid = np.int64(key[0].as_py())
     parts = [pa.table({"w": x[0], "pid": pa.array(np.full(len(x[1]), pid)), "d": pa.array(x[1]), "at": pa.array(x[2]), "n": pa.array(x[3].astype(np.int32)), "src_d": pa.array(x[4]), "src_at": pa.array(x[5])}) for x in (windows, spans)]

@@ -40,7 +40,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W\d_][@$!*#%&+013457]+[^\W\d_]")
 LONG = re.compile(r"([^\W\d_])\1\1")
 LEET = str.maketrans("@$!013457", "asioleast")
-MASKED_WORD = re.compile(r"[^\W_]*[^\W\d_][@$!*013457]+[^\W\d_][^\W_]*")
+MASKED_WORD = re.compile(r"(?<![^\W_])[^\W_]*[^\W\d_][@$!*013457]+[^\W\d_][^\W_]*")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 MARKS = re.compile(r"[!?]")
 OTHER = re.compile(r"[^\w\s]")
@@ -78,11 +78,13 @@ class Lexicon:
         return w
 
 
-def learn(toxic: Counter, others: Counter, n_toxic: int, n_others: int) -> Lexicon:
+def learn(toxic: list[Counter], others: list[Counter], n_toxic: int, n_others: int, without: int = -1) -> Lexicon:
+    """The lexicon of counts by fold, of all folds but one; both numbers are those of the documents in these folds."""
+    sums = [sum((c for k, c in enumerate(x) if k != without), Counter()) for x in (toxic, others)]
     weights = {}
-    for e, a in toxic.items():
+    for e, a in sums[0].items():
         if a >= SUPPORT:
-            ratio = (a / max(n_toxic, 1)) / ((others.get(e, 0) + 0.5) / (n_others + 1))
+            ratio = (a / max(n_toxic, 1)) / ((sums[1].get(e, 0) + 0.5) / (n_others + 1))
             if ratio >= RATIO:
                 weights[e] = float(np.log(ratio))
     return Lexicon(weights)
@@ -194,25 +196,28 @@ class Model:
         if not 0 < y.sum() < len(y):
             return
         fold = np.arange(len(y)) % FOLDS
-        seen = [[Counter(), Counter()] for _ in range(FOLDS)]
+        # Only entries of enough toxic documents can enter a lexicon, so others are counted for these alone.
+        counts = [[Counter() for _ in range(FOLDS)] for _ in (0, 1)]
         for k, t, v in zip(fold, texts, toxic):
-            seen[k][v].update(entries(set(tokens(t))))
-        sums = [sum((s[v] for s in seen), Counter()) for v in (0, 1)]
+            if v:
+                counts[1][k].update(entries(set(tokens(t))))
+        enough = {e for e, a in sum(counts[1], Counter()).items() if a >= SUPPORT}
+        counts[1] = [Counter({e: a for e, a in c.items() if e in enough}) for c in counts[1]]
+        for k, t, v in zip(fold, texts, toxic):
+            if not v:
+                counts[0][k].update(entries(set(tokens(t))) & enough)
         n1, n0 = int(y.sum()), int((1 - y).sum())
         x = np.zeros((len(y), len(NAMES)))
         for k in range(FOLDS):
             own = fold == k
             m1 = int(y[own].sum())
-            less = [Counter(sums[v]) for v in (0, 1)]
-            for v in (0, 1):
-                less[v].subtract(seen[k][v])
-            lexicon = learn(less[1], less[0], n1 - m1, n0 - int(own.sum()) + m1)
+            lexicon = learn(counts[1], counts[0], n1 - m1, n0 - int(own.sum()) + m1, without=k)
             x[own] = [features(texts[i], lexicon) for i in np.flatnonzero(own)]
         apart = np.zeros(len(y))
         for k in range(FOLDS):
             apart[fold == k] = Trees(x[fold != k], y[fold != k]).score(x[fold == k])
         self.points = isotonic(apart, y)
-        self.trees, self.lexicon = Trees(x, y), learn(sums[1], sums[0], n1, n0)
+        self.trees, self.lexicon = Trees(x, y), learn(counts[1], counts[0], n1, n0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None or not texts:

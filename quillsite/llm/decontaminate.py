@@ -3,13 +3,13 @@
 A document leaks an item if it has at least 0.8 of the item's 5-word shingles, however long the document is. Items are
 partitioned by size (powers of two). An item's sketch is its bottom-k MinHash values, k being one more than the shingles
 that may be missing at the upper size of its partition; a document that leaks the item must have one of these k. A
-partition's cut-off is the largest value in its sketches, and a document's sketch for it is all its values up to the
-cut-off. Equal values make a candidate; a candidate is verified by counting the item's shingles in the document.
+document's sketch is all its values up to the largest one in an item's sketch. Equal values make a candidate; a candidate
+is verified by counting the item's shingles in the document.
 
 Only DataFrame functions run here. Documents that no sketch value touches are never verified. The sketches and the items'
 shingles are broadcast up to a checked number of rows; beyond it they are joined by shuffling.
 
-Words are parted by ASCII white space; A-Z are lower-cased. Shingles are compared by two 64-bit hashes in verification.
+Words are parted by ASCII white space; A-Z are lower-cased. Shingles are compared by a 64-bit hash of their words.
 
 Cases: an item with fewer than five words is one shingle, its whole sequence, which a document must hold as its own
 whole sequence; a null or blank item or text has no shingle and leaks nothing. Equal items are reported each by its id.
@@ -44,27 +44,25 @@ def minhash(h: Column) -> Column:
 
 
 def item_shingles(items: DataFrame, id: str = "item_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """(item_id, size, part, h, in_sketch, cut) for each different shingle of each item.
+    """(item_id, size, part, h, value, in_sketch) for each different shingle of each item.
 
-    part: the size partition; in_sketch: h is among the item's bottom k; cut: the partition's cut-off.
+    part: the size partition; in_sketch: h is among the item's bottom k by its MinHash value.
     """
     rows = items.select(F.col(f"`{id}`").alias("item_id"), F.explode(F.array_distinct(shingles(F.col(f"`{text}`")))).alias("h")).distinct()
     own = Window.partitionBy("item_id")
     rows = rows.withColumn("size", F.count("*").over(own)).withColumn("part", F.floor(F.log2("size")).cast("int"))
     upper = F.pow(F.lit(2.0), F.col("part") + 1) - 1
     k = F.floor(upper * F.lit(1 - share) + F.lit(1e-9)) + 1
-    rows = rows.withColumn("value", minhash(F.col("h"))).withColumn("in_sketch", F.row_number().over(own.orderBy("value", "h")) <= k)
-    cut = F.max(F.when(F.col("in_sketch"), F.col("value"))).over(Window.partitionBy("part"))
-    return rows.withColumn("cut", cut)
+    return rows.withColumn("value", minhash(F.col("h"))).withColumn("in_sketch", F.row_number().over(own.orderBy("value", "h")) <= k)
 
 
 def candidates(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id): documents that share a sketch value with an item."""
-    most = known.agg(F.max("cut")).first()[0]
+    probes = known.filter("in_sketch")
+    most = probes.agg(F.max("value")).first()[0]
     sketch = F.filter(shingles(F.col(f"`{text}`")), lambda h: minhash(h) <= F.lit(-1 if most is None else most).cast("bigint"))
     values = docs.select(F.col(f"`{id}`").alias("doc_id"), F.explode(sketch).alias("h"))
-    probes = known.filter("in_sketch").select("item_id", "h")
-    return values.join(bounded(probes), "h").select("doc_id", "item_id").distinct()
+    return values.join(bounded(probes.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:

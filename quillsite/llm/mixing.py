@@ -4,7 +4,7 @@ Each source gets a share of all words; a document is then due share / size copie
 copies are taken as they are. The fractions are rounded by pivotal sampling: two documents at a time pass words to each
 other, at random but fair odds, until one of them has a whole number of copies. The words that a source is due are kept
 by every such step, and long documents come first, so that the one left undecided at the end is a short one; it goes to
-the nearer whole number. A source misses its target by less than that document.
+the nearer whole number. What a source then misses is made up for by one document whose size is nearest to it, twice.
 
 Documents meet in chunks of bounded size; each chunk leaves at most one undecided document, and these meet in chunks
 again, level by level, until one is left per source. Odds come from hashes of ids, so reruns agree however the rows
@@ -28,6 +28,8 @@ from .common import checkpointed, join_back, key_of, words_of
 
 #: So many documents are rounded in one task; so many undecided ones meet on the next level.
 CHUNK, FAN = 8192, 4096
+#: So many times, what a source misses is made up for by one document.
+REPAIRS = 2
 WEIGHTS, CAP = (1, 2, 3), 3
 
 
@@ -95,7 +97,7 @@ def pivot(ids, sizes, due, seed: int = 42) -> tuple[np.ndarray, int]:
 
 
 def _rounded(docs: DataFrame, seed: int) -> DataFrame:
-    """docs (rid, skey, chunk, chunks, size, due) with due 0 or 1 but for one row of a chunk."""
+    """docs (rid, skey, chunk, chunks, size, due, …) with due 0 or 1 but for one row of a chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "rid", "due"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -113,7 +115,7 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     rows = join_back(sized, facts.select("skey", "source_size", "target", "n_docs", F.col("n_docs").alias("n")), "skey", "n").withColumn("_due", due)
     rid = F.coalesce("doc_id", F.lit(-1)).cast("bigint")
     chunks = F.ceil(F.col("n_docs") / CHUNK).cast("bigint")
-    rows = rows.select("doc_id", rid.alias("rid"), "skey", "size", "source_size", "target", F.floor("_due").cast("bigint").alias("whole"), (F.col("_due") - F.floor("_due")).alias("due"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), chunks).alias("chunk"), chunks.alias("chunks"))
+    rows = rows.select("doc_id", rid.alias("rid"), "skey", "size", "source_size", "target", F.floor("_due").cast("bigint").alias("whole"), (F.col("_due") - F.floor("_due")).alias("due"), "n_docs", F.pmod(F.xxhash64("doc_id", F.lit(seed)), chunks).alias("chunk"), chunks.alias("chunks"))
     level = checkpointed(_rounded(rows, seed))
     done = [level.filter("due <= 0 or due >= 1")]
     level = level.filter("due > 0 and due < 1")
@@ -125,10 +127,30 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     out = level.withColumn("due", F.when(F.col("due") >= 0.5, 1.0).otherwise(0.0))
     for d in done:
         out = out.unionByName(d)
+    free = (F.col("target") / F.col("source_size") % 1 > 1e-9) & (F.col("size") > 0)
     copies = (F.col("whole") + F.round("due").cast("bigint")).alias("copies")
-    return out.select("doc_id", "size", "source_size", "target", copies, (F.col("size") * copies).alias("taken"))
+    out = checkpointed(out.select("doc_id", "skey", "size", "source_size", "target", "n_docs", copies, F.when(free, F.round("due").cast("int")).alias("up"), F.monotonically_increasing_id().alias("uid")))
+    for _ in range(REPAIRS):
+        out = _repaired(out)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _repaired(rows: DataFrame) -> DataFrame:
+    """rows, where in each source one document more or less is rounded up if that brings the source nearer to its target.
+
+    Only documents with a fraction of a copy (up: 0 or 1) change, between the two whole numbers next to it.
+    """
+    gap = F.first("target") - F.sum(F.col("size") * F.col("copies"))
+    gaps = rows.groupBy("skey").agg(F.first("n_docs").alias("n"), gap.alias("gap"))
+    seen = join_back(rows, gaps, "skey", "n")
+    left = F.abs(F.abs("gap") - F.col("size"))
+    fits = (F.col("up") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (left < F.abs("gap"))
+    best = seen.filter(fits).groupBy("skey").agg(F.min(F.struct(left.alias("left"), "doc_id", "uid")).alias("b")).select("skey", F.col("b.uid").alias("best"))
+    n = gaps.select("skey", "n")
+    rows = join_back(rows, n.join(best, "skey", "left"), "skey", "n")
+    chosen = F.coalesce(F.col("uid") == F.col("best"), F.lit(False))
+    step = F.when(chosen, 1 - 2 * F.col("up")).otherwise(0)
+    return checkpointed(rows.withColumn("copies", F.col("copies") + step).withColumn("up", F.col("up") + step).drop("best"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded, checkpointed
+
 #: The order of the longest context, the number of symbols, and the documents for each language in the sample.
 ORDER, SYMBOLS, SAMPLE = 3, 40, 400
 #: The tables may have so many cells in all; with more languages the order is lower.
@@ -116,19 +118,18 @@ def held_out(id: Column) -> Column:
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """The model of docs that aren't held out, from at most `sample` documents for each language.
 
-    The sample is chosen by ids and languages alone, in two steps with a bounded number of rows left by each, and only
-    the texts of its documents are read.
+    The sample is chosen by ids and languages alone. A threshold on the hash, from the language's count, first leaves
+    about three times the sample, so what meets in one task is bounded however frequent the language is.
     """
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.xxhash64("doc_id", F.lit(1))
-    # A row number within salted groups first, so that a language with most documents isn't sorted in one task.
-    salted = known.select("doc_id", "lang", rank.alias("r")).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(64)))
-    first = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("r", "doc_id"))).filter(F.col("n") <= sample)
-    chosen = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id"))).filter(F.col("n") <= sample)
+    known = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = bounded(checkpointed(known.groupBy("lang").agg(F.count("*").alias("n"))))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = known.select("doc_id", "lang", share.alias("r")).join(counts, "lang").filter(F.col("r") * F.col("n") < 3 * sample)
+    chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id"))).filter(F.col("n") <= sample)
     ids = chosen.select("doc_id").distinct()
     texts: dict[str, list[bytes]] = {}
-    got = known.join(F.broadcast(ids), "doc_id").select("lang", "text").toPandas()
+    got = known.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("lang", "text").toPandas()
     for x, t in sorted(zip(got["lang"], got["text"])):
         texts.setdefault(x, []).append(t.encode("utf-8", "surrogatepass"))
     return Model(texts)

@@ -65,7 +65,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
     The prior's mean is the overall rate; its weight comes from how far the rates spread beyond chance (moments).
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("bigint")).alias("n_failed"))
+    hosts = checkpointed(judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("bigint")).alias("n_failed")))
     n, f, k, sq = hosts.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_failed"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")), F.lit(0.0))).first()
     mean = f / n if n else 0.0
     chance = mean * (1 - mean)
@@ -75,8 +75,10 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
 
 def verdict(reject_rate: float, trust_rate: float) -> Column:
-    sound = (F.col("host_rate") <= reject_rate) & (~F.col("failed") | (F.col("host_rate") < trust_rate))
-    return ~F.col("base_failed") & sound
+    """Whether a document is kept. It is one case rather than several conditions: these would be pushed below the join
+    with the hosts one by one, and each would measure the text again."""
+    fine = ~F.col("base_failed") & (~F.col("failed") | (F.col("host_rate") < trust_rate))
+    return F.when(F.col("host_rate") <= reject_rate, fine).otherwise(F.lit(False))
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", reject_rate: float = REJECT_RATE, trust_rate: float = TRUST_RATE) -> DataFrame:
@@ -88,7 +90,7 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
 
 def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", reject_rate: float = REJECT_RATE, trust_rate: float = TRUST_RATE) -> DataFrame:
     """The rows of docs that judge() keeps, whole. Texts are measured again rather than shuffled or written."""
-    rates = checkpointed(host_rates(measures(docs, id, text, host)))
+    rates = host_rates(measures(docs, id, text, host))
     seen = measures(docs, id, text, host, carry=True)
     out = join_back(seen, rates, "host", "n_docs").withColumnRenamed("rate", "host_rate")
     return out.filter(verdict(reject_rate, trust_rate)).select("row.*")

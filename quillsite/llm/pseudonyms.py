@@ -27,7 +27,7 @@ KEY = "example-key"
 ROUNDS = 8
 
 # Fixed patterns, tried in this order at each position.
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,10}[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE_YMD = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DATE_DMY = r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?!\d|[./]\d)"

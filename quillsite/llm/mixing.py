@@ -127,7 +127,7 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     out = level.withColumn("due", F.when(F.col("due") >= 0.5, 1.0).otherwise(0.0))
     for d in done:
         out = out.unionByName(d)
-    free = (F.col("target") / F.col("source_size") % 1 > 1e-9) & (F.col("size") > 0)
+    free = (F.try_divide("target", "source_size") % 1 > 1e-9) & (F.col("size") > 0)
     copies = (F.col("whole") + F.round("due").cast("bigint")).alias("copies")
     out = checkpointed(out.select("doc_id", "skey", "size", "source_size", "target", "n_docs", copies, F.when(free, F.round("due").cast("int")).alias("up"), F.monotonically_increasing_id().alias("uid")))
     for _ in range(REPAIRS):

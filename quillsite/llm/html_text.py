@@ -2,9 +2,14 @@
 
 The page becomes a tree of elements. Every block of text gives points for being there, for each comma and for its length;
 its container gets them whole, the container's ancestors a share that shrinks with the distance. Points are discounted by
-link density. The container with most points is kept, with those siblings that have enough points or are plain
-paragraphs. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by
-their element or their class, and so are lists that mostly consist of links.
+link density. The container with most points is kept. If it stands in an article or main element, so is all else there
+that isn't mostly links; otherwise those siblings that have enough points, are plain paragraphs or belong to the run
+around it (what stands between kept siblings, headings, what follows a heading, sections, elements of the same class),
+and the headings before its ancestors. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
+styles are left out by their element or their class, and so are lists that mostly consist of links. A class counts if it
+is one of the known words as a whole, or made of them and of words for place, rank and part. It doesn't count for an
+element that holds most of the page's text outside links, unless it names comments; if nothing else is on the page,
+no class counts.
 
 Cases: a null, empty or textless page has an empty text. A page without markup is one block. Elements that are not
 closed, or closed without being open, are put right as browsers do. Equal rows give equal texts; an empty table gives an
@@ -29,13 +34,16 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcap
 BLOCKS = PARAGRAPHS | SKIPPED | frozenset("html body div section article main ul ol dl table thead tbody tfoot tr figure details address center fieldset hr".split())
 #: An element of the key ends, if open in the same parent, when one of its values begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-#: A class or id with one of these words marks what isn't article text.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|side-bar|aside|widget|footer|header|masthead"
-    r"|comment|comments|disqus|replies|respond|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social"
-    r"|related|recommended|breadcrumb\w*|pagination|pager|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
+#: A class or id made of these words, with or without words of FILLING between them, marks what isn't article text.
+MARKING = r"(?:ad|ads|adv|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|nav|navbar|navigation|menu|sidebar|aside|widget|widgets|footer|header|masthead" \
+    r"|comment|comments|disqus|replies|respond|cookie[a-z]*|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social" \
+    r"|related|recommended|breadcrumb[a-z]*|pagination|pager|skip|hidden)"
+FILLING = r"(?:site|global|top|bottom|left|right|main|primary|secondary|sub|mobile|desktop|user|bar|side|box|block|area|section|slot|unit|wrap|wrapper|container|inner|outer|list|item|items" \
+    r"|link|links|button|buttons|icons|form|text|body|thread|posts|articles|stories|content|media|visually|is|js|to|\d+|\d+x\d+)"
+UNLIKELY = re.compile(rf"(?!(?:section|block|content|item|box|list|text|body)[_-]header)(?:{FILLING}[_-]+)*{MARKING}(?:[_-]+(?:{MARKING}|{FILLING}))*|side-bar", re.I)
+#: Of these, what marks a discussion, which may be longer than its article.
+DISCUSSION = re.compile(r"comment|disqus|replies|respond", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 SPACE = re.compile(r"\s+")
@@ -43,29 +51,40 @@ COMMAS = re.compile("[,，、،]")
 
 
 class Node:
-    __slots__ = ("chars", "linked", "parent", "points", "skipped", "tag")
+    __slots__ = ("chars", "classes", "discussion", "linked", "mark", "parent", "plain", "points", "skipped", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, skipped: bool):
-        self.tag, self.parent, self.skipped, self.points, self.chars, self.linked = tag, parent, skipped, 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+        self.tag, self.parent, self.points, self.chars, self.linked, self.plain = tag, parent, 0.0, 0, 0, 0
+        hard, marked, self.discussion, self.classes = judged(tag, attributes)
+        self.skipped = hard or parent is not None and parent.skipped
+        #: The nearest element with an unlikely class, from this one upwards.
+        self.mark: Node | None = self if marked else parent.mark if parent else None
 
 
-def unlikely(tag: str, attributes: str) -> bool:
-    if tag in SKIPPED:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
+def judged(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
+    """Whether an element is skipped for good, is unlikely by its class, is a discussion; and its classes."""
+    hard, marked, discussion, classes = tag in SKIPPED, False, False, ""
+    whole = tag in ("html", "body", "article", "main")
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value) or name in ("class", "id") and UNLIKELY.search(value):
-            return True
-        if name == "role" and value.lower() in ("navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert"):
-            return True
-    return False
+        if name == "class":
+            classes = value
+        if whole:
+            continue
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
+            hard = True
+        elif name == "role" and value.lower() in ("navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert"):
+            hard = True
+        elif name in ("class", "id"):
+            for word in value.split():
+                if UNLIKELY.fullmatch(word):
+                    marked, discussion = True, discussion or bool(DISCUSSION.search(word))
+    return hard, marked, discussion, classes
 
 
-def blocks_of(page: str) -> list[tuple[Node, str]]:
-    """The blocks of text in page order, each with the element it stands in. Counts characters along the way."""
-    root = Node("html", None, False)
+def blocks_of(page: str) -> list[tuple[Node, str, int]]:
+    """The blocks of text in page order, each with the element it stands in and the characters in links. Counts characters along the way."""
+    root = Node("html", None)
     stack, found, text, links = [root], [], [], [0]
     linked = 0
 
@@ -77,7 +96,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
                 node = stack[-1]
                 while node.tag not in BLOCKS and node.parent:
                     node = node.parent
-                found.append((node, block))
+                found.append((node, block, min(linked, len(block))))
                 up: Node | None = node
                 while up:
                     up.chars += len(block)
@@ -142,7 +161,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             close(at)
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        stack.append(Node(tag, stack[-1], stack[-1].skipped or unlikely(tag, attributes)))
+        stack.append(Node(tag, stack[-1], attributes))
         links[0] += tag == "a"
     add(page[pos:])
     flush()
@@ -153,9 +172,51 @@ def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def article_blocks(page: str) -> list[tuple[Node, str]]:
+    """The blocks that neither an element nor a class rules out."""
+    found = [x for x in blocks_of(page) if not x[0].skipped]
+    marks: dict[int, Node] = {}
+    for node, block, linked in found:
+        mark = node.mark
+        while mark:
+            mark.plain += len(block) - linked
+            marks[id(mark)] = mark
+            mark = mark.parent.mark if mark.parent else None
+    half = sum(len(block) - linked for _, block, linked in found) / 2
+    out = {k for k, m in marks.items() if m.discussion or m.plain <= half}
+
+    def stays(node: Node) -> bool:
+        mark = node.mark
+        while mark and id(mark) not in out:
+            mark = mark.parent.mark if mark.parent else None
+        return mark is None
+
+    return [(n, b) for n, b, _ in found if stays(n)] or [(n, b) for n, b, linked in found if 2 * linked < len(b)]
+
+
+def run_around(entries: list[Node | None], best: Node, enough: float, on: bool, loose: bool) -> set[int]:
+    """Which of the best container's siblings, itself included, belong to the article, by position. None is loose text.
+
+    on: whether the run may go on behind the last good sibling; loose: whether paragraphs anywhere are kept.
+    """
+    good = [i for i, n in enumerate(entries) if n and (n is best or n.points * (1 - density(n)) >= enough)]
+    first, last = good[0], good[-1]
+    kept = set(good)
+    low = lambda n: n is None or density(n) < 0.25
+    while first > 0 and (n := entries[first - 1]) and n.tag in HEADINGS and low(n):
+        first -= 1
+    while on and last + 1 < len(entries) and (n := entries[last + 1]) and low(n):
+        before = entries[last]
+        alike = n.tag == "section" or n.tag == best.tag and n.classes and n.classes == best.classes
+        if not (n.tag in PARAGRAPHS or alike or before and before.tag in HEADINGS or n.tag in ("ul", "ol", "dl")):
+            break
+        last += 1
+    return kept | {i for i in range(first, last + 1) if low(entries[i])} | {i for i, n in enumerate(entries) if loose and n and n.tag == "p" and low(n)}
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, joined by line ends."""
-    blocks = [(n, b) for n, b in blocks_of(page or "") if not n.skipped]
+    blocks = article_blocks(page or "")
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
@@ -169,22 +230,43 @@ def main_text(page: str | None) -> str:
             up, share = up.parent, share / 2 if share == 1 else share / 1.5
     best = max(scored.values(), key=lambda n: n.points * (1 - density(n)))
     enough = max(10.0, 0.2 * best.points * (1 - density(best)))
-    kept = {id(best)}
-    for n in scored.values():
-        if n.parent is best.parent and n.points * (1 - density(n)) >= enough:
-            kept.add(id(n))
+    above, up = [], best
+    while up:
+        above.append(up)
+        up = up.parent
+    # The article that the best container stands in, or else the main element.
+    whole = next((n for n in above if n.tag == "article"), None) or next((n for n in above if n.tag == "main"), None)
+    top = whole or best
+    levels = {id(n): i for i, n in enumerate(above)}
+    at = levels[id(top)]
+    # The children of top's parent in page order, which of them each block is in, and headings before top's ancestors.
+    entries: list[Node | None] = []
+    of: list[int] = []
+    titles: list[int] = []
+    for k, (node, _) in enumerate(blocks):
+        child, up = None, node
+        while id(up) not in levels:
+            child, up = up, up.parent
+        level = levels[id(up)]
+        if level > at + 1:
+            of.append(-1)
+            if not entries:
+                titles = [*titles, k] if child and child.tag in HEADINGS and density(child) < 0.25 else []
+            continue
+        entry = top if level <= at else child
+        if not entries or entry is None or entries[-1] is not entry:
+            entries.append(entry)
+        of.append(len(entries) - 1)
+    around, ahead = run_around(entries, top, enough, not whole, top is best), set(titles)
     out = []
-    for node, block in blocks:
-        up: Node | None = node
-        inside, menu = False, False
-        while up:
-            if id(up) in kept:
-                inside = True
-                break
-            if up.tag in ("ul", "ol", "dl", "table", "div", "section") and density(up) > 0.5:
-                menu = True
+    for k, (node, block) in enumerate(blocks):
+        if of[k] not in around and k not in ahead:
+            continue
+        up, menu = node, False
+        while not menu and id(up) not in levels:
+            menu = up.tag in ("ul", "ol", "dl", "table", "div", "section") and density(up) > 0.5
             up = up.parent
-        if inside and not menu or not inside and node.tag == "p" and node.parent is best.parent and density(node) < 0.25:
+        if not menu and (levels[id(up)] == 0 or density(node) <= 0.5):
             out.append(block)
     return "\n".join(out)
 

@@ -318,6 +318,20 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep, text" + "</div>" * 3000) == "deep, text"
 
 
+def test_main_text_of_ordinary_shapes():
+    long, short = "A long paragraph, with commas, and many words, that goes on and on. " * 6, "A short one."
+    two, whole = f"<p>{long}</p><p>{long}</p>", f"{long.strip()}\n{long.strip()}"
+    for name in ("overflow-hidden", "has-sidebar", "wrap no-sidebar", "modal"):
+        assert html_text.main_text(f"<body><div class='{name}'>{two}</div><div class='sidebar-left'>side</div></body>") == whole
+    assert html_text.main_text(f"<article><h1>T</h1><div>{two}</div><h2>U</h2><div><p>{short}</p></div><p><a href=x>more</a></p></article>") == f"T\n{whole}\nU\n{short}"
+    assert html_text.main_text(f"<div><div>Site</div><h1>T</h1><div>{two}</div><h2>U</h2><div><p>{short}</p></div><div>(c) me</div></div>") == f"T\n{whole}\nU\n{short}"
+    assert html_text.main_text(f"<div><h1>T</h1><div><section>{two}</section><section><p>{short}</p></section></div></div>") == f"T\n{whole}\n{short}"
+    assert html_text.main_text(f"<main><div>{two}</div><ul><li>a<li>b</ul><ul><li><a href=x>c</a></ul></main>") == f"{whole}\na\nb"
+    # A discussion may be longer than its article.
+    assert html_text.main_text(f"<div id=main><p>{short}</p></div><div class='comment-list'>{two}</div>") == short
+    assert html_text.main_text("<p>x</p><div class='%s!'>y</div>" % ("advert_" * 3000)).startswith("x")
+
+
 @needs_tables
 def test_pages_whole(spark):
     import html

@@ -1,14 +1,15 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree over the symbols of its texts' bytes. A symbol that was seen after a context has the
-share of its count; the rest, as much as different symbols were seen (escape method C), goes to the next shorter context
-over the symbols not seen in the longer one (exclusion), down to equal shares. With frozen statistics the probabilities
+Each language has a context tree of order 3 over the 256 values of its texts' bytes. A byte that was seen after a context
+has the share of its count; the rest, as much as different bytes were seen (escape method C), goes to the next shorter context
+over those not seen in the longer one (exclusion), down to equal shares. With frozen statistics the probabilities
 of a context sum to one, so minus their logarithms are exact code lengths in bits. A text belongs to the language that
 codes it in the fewest bits; the score is that language's share if each is weighed by two to minus its code length.
 
-Byte values that are frequent in the training texts are symbols of their own; the others share one symbol, followed by
-equal shares. As the statistics are frozen, each tree is written out as a table of code lengths by context and symbol, so
-that scoring is one look-up a byte for all languages.
+A code length is that of the next shorter context plus what the escape costs, unless the byte was seen after the context.
+So up to order 1 it stands in a table, and for orders 2 and 3 only what was seen is kept, as a correction for each of the
+languages that saw it, sorted by its bytes. Neither the alphabet nor the order depends on how many languages there are;
+memory follows the bytes of the sample.
 
 The model is fitted on a bounded sample of documents for each language, those with the smallest hashes of their ids;
 all texts are scored whole.
@@ -31,16 +32,16 @@ from pyspark.sql.window import Window
 
 from .common import bounded, checkpointed
 
-#: The order of the longest context, the number of symbols, and the documents for each language in the sample.
-ORDER, SYMBOLS, SAMPLE = 3, 40, 400
-#: The tables may have so many cells in all; with more languages the order is lower.
-MOST_CELLS = 1 << 25
+#: The order of the longest context, and the documents for each language in the sample.
+ORDER, SAMPLE = 3, 400
+#: So many grams are counted at once.
+AT_ONCE = 1 << 22
 LETTER = re.compile(r"[^\W\d_]")
 #: Texts are scored in pieces of so many bytes, to bound memory; pieces overlap by the context.
 PIECE = 1 << 20
 
 
-def symbols_of(texts: list[bytes], symbols: int = SYMBOLS) -> tuple[np.ndarray, int]:
+def symbols_of(texts: list[bytes], symbols: int) -> tuple[np.ndarray, int]:
     """The symbol of each byte value, and how many byte values share the last symbol."""
     counts = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
     own = np.argsort(-counts, kind="stable")[: symbols - 1]
@@ -49,8 +50,8 @@ def symbols_of(texts: list[bytes], symbols: int = SYMBOLS) -> tuple[np.ndarray,
     return of, 256 - len(own)
 
 
-def code_table(texts: list[bytes], of: np.ndarray, shared: int, order: int = ORDER, symbols: int = SYMBOLS) -> np.ndarray:
-    """Bits for each (context of `order` symbols, symbol), as a flat table.
+def code_table(texts: list[bytes], of: np.ndarray, shared: int, order: int, symbols: int) -> np.ndarray:
+    """Bits for each (context of `order` symbols, symbol), as a flat table: the low orders of Tree.
 
     A text begins after `order` times the last symbol.
     """
@@ -78,29 +79,115 @@ def code_table(texts: list[bytes], of: np.ndarray, shared: int, order: int = ORD
     return bits.ravel().astype(np.float32)
 
 
+def grams(s: np.ndarray) -> np.ndarray:
+    """The four bytes that end at each position of s from the fourth on, as one number."""
+    s = s.astype(np.uint32)
+    return s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:]
+
+
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of all texts, sorted, and their counts. A text begins after three zero bytes."""
+    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    batch: list[np.ndarray] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        found, n = np.unique(np.concatenate(batch), return_counts=True)
+        both, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+    size = 0
+    for t in texts:
+        for start in range(0, len(t), AT_ONCE):
+            batch.append(grams(np.frombuffer((bytes(ORDER) + t[:AT_ONCE]) if not start else t[start - ORDER : start + AT_ONCE], np.uint8)))
+            size += len(batch[-1])
+            if size >= AT_ONCE:
+                keys, counts = merged()
+                batch, size = [], 0
+    return merged() if batch else (keys, counts)
+
+
+def seen_after(ctx: np.ndarray, counts: np.ndarray, lower: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For grams of contexts 0, 1, .. with their probabilities in the shorter context: their own probabilities, what they
+    take more bits than by escape, and the bits of each context's escape (0 for one that wasn't seen)."""
+    total, different = np.bincount(ctx, counts, contexts), np.bincount(ctx, minlength=contexts)
+    open_ = (different > 0) & (different < 256)
+    left = np.where(open_, np.maximum(1 - np.bincount(ctx, lower, contexts), 1e-15), 1)
+    escape = np.where(open_, -np.log2(np.where(open_, different / np.maximum(total + different, 1), 1) / left), 0)
+    p = counts / (total + np.where(open_, different, 0))[ctx]
+    return p, -np.log2(p) + np.log2(lower) - escape[ctx], escape
+
+
+class Tree:
+    """The frozen context tree of one language.
+
+    low: bits by the last byte and the next; escapes2: bits by the last two bytes; more2, more3: bits by grams of three
+    and four bytes as (keys, bits); escapes3: bits by the last three bytes as (keys, bits).
+    """
+
+    def __init__(self, texts: list[bytes]):
+        keys, counts = counted(texts)
+        p = np.full((1, 256), 1 / 256)
+        for k in (0, 1):
+            n = np.bincount(keys & np.uint32(256 ** (k + 1) - 1), counts, 256 ** (k + 1))
+            seen = np.flatnonzero(n)
+            p = np.tile(p, (256**k // len(p), 1)).ravel()
+            own, _, escape = seen_after(seen >> 8, n[seen], p[seen], 256**k)
+            p *= np.repeat(np.exp2(-escape), 256)
+            p[seen] = own
+            p = p.reshape(-1, 256)
+        self.low, p = -np.log2(p).ravel(), p.ravel()
+        three, at = np.unique(keys & np.uint32(0xFFFFFF), return_inverse=True)
+        own, more, self.escapes2 = seen_after((three >> 8).astype(np.int64), np.bincount(at, counts, len(three)), p[three & np.uint32(0xFFFF)], 1 << 16)
+        self.more2 = three, more
+        contexts, ctx = np.unique(keys >> np.uint32(8), return_inverse=True)
+        _, more, escape = seen_after(ctx, counts, own[at], len(contexts))
+        self.more3, self.escapes3 = (keys, more), (contexts, escape)
+
+
+class Sparse:
+    """Sums of bits by key and language, of which most are zero."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        keys = np.concatenate([k for k, _ in tables])
+        order = np.argsort(keys, kind="stable")
+        self.langs = len(tables)
+        self.lang = np.repeat(np.arange(len(tables), dtype=np.int32), [len(k) for k, _ in tables])[order]
+        self.bits = np.concatenate([b for _, b in tables])[order].astype(np.float32)
+        self.keys, starts = np.unique(keys[order], return_index=True)
+        self.starts = np.append(starts, len(keys))
+
+    def sums(self, keys: np.ndarray) -> np.ndarray:
+        """By language, the bits of all keys, repeats included."""
+        if not len(self.keys):
+            return np.zeros(self.langs)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = at[self.keys[at] == keys]
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.lang[rows], self.bits[rows], self.langs)
+
+
 class Model:
-    """Frozen code length tables for all languages, side by side."""
+    """Frozen code lengths for all languages, side by side."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, symbols: int = SYMBOLS):
-        self.langs, self.symbols = sorted(texts), symbols
-        while order > 1 and symbols ** (order + 1) * len(self.langs) > MOST_CELLS:
-            order -= 1
-        self.order = order
-        self.of, shared = symbols_of([t for ts in texts.values() for t in ts], symbols)
-        tables = [code_table(texts[x], self.of, shared, order, symbols) for x in self.langs]
-        self.bits = np.stack(tables, axis=1) if tables else np.zeros((0, 0), np.float32)
+    def __init__(self, texts: dict[str, list[bytes]]):
+        self.langs = sorted(texts)
+        trees = [Tree(texts[x]) for x in self.langs]
+        if trees:
+            self.low, self.escapes2 = (np.stack(x, axis=1).astype(np.float32) for x in ([t.low for t in trees], [t.escapes2 for t in trees]))
+            self.more2, self.more3, self.escapes3 = (Sparse(x) for x in ([t.more2 for t in trees], [t.more3 for t in trees], [t.escapes3 for t in trees]))
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of a text by language."""
         out = np.zeros(len(self.langs))
-        tail = np.full(self.order, self.symbols - 1, np.uint8)
+        tail = bytes(ORDER)
         for start in range(0, len(text), PIECE):
-            s = np.concatenate([tail, self.of[np.frombuffer(text, np.uint8, min(PIECE, len(text) - start), start)]])
-            at = s[self.order :].astype(np.int32)
-            for k in range(1, self.order + 1):
-                at += s[self.order - k : -k].astype(np.int32) * np.int32(self.symbols**k)
-            out += self.bits.take(at, axis=0).sum(axis=0, dtype=np.float64)
-            tail = s[len(s) - self.order :]
+            piece = tail + text[start : start + PIECE]
+            g = grams(np.frombuffer(piece, np.uint8))
+            out += self.low.take(g & np.uint32(0xFFFF), axis=0).sum(axis=0, dtype=np.float64)
+            out += self.escapes2.take(g >> np.uint32(8) & np.uint32(0xFFFF), axis=0).sum(axis=0, dtype=np.float64)
+            out += self.more2.sums(g & np.uint32(0xFFFFFF)) + self.escapes3.sums(g >> np.uint32(8)) + self.more3.sums(g)
+            tail = piece[len(piece) - ORDER :]
         return out
 
     def judge(self, text: str | None) -> tuple[str, float]:

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import brute
@@ -391,6 +391,49 @@ def test_scoring_in_pieces_is_the_same(monkeypatch):
     assert model.judge(None) == model.judge("") == model.judge("12 34!") == ("und", 0.0) and model.judge("é")[0] in "xy"
 
 
+def test_code_lengths_equal_brute_force(monkeypatch):
+    texts = [b"abracadabra Abracadabra", b"barb \xc3\xa9t\xc3\xa9", b"", bytes(range(256)) * 2]
+    seen = [Counter() for _ in range(4)]
+    for t in texts:
+        for i, x in enumerate(t):
+            for k in range(4):
+                seen[k][(bytes(3) + t)[i + 3 - k : i + 3], x] += 1
+
+    def p(k, context, x):
+        if k < 0:
+            return 1 / 256
+        n = {y: c for (q, y), c in seen[k].items() if q == context}
+        total, different = sum(n.values()), len(n)
+        if not n:
+            return p(k - 1, context[1:], x)
+        if x in n:
+            return n[x] / (total + (different if different < 256 else 0))
+        return different / (total + different) * p(k - 1, context[1:], x) / (1 - sum(p(k - 1, context[1:], y) for y in n))
+
+    for at_once in (5, 1 << 22):
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        model = language.Model({"x": texts, "y": [b"other"], "z": []})
+        for t in (b"cadab", b"ABRA \xc3\xa8", bytes([0, 0, 7, 250, 251, 99])):
+            want = -sum(np.log2(p(3, (bytes(3) + t)[i : i + 3], x)) for i, x in enumerate(t))
+            got = model.code_lengths(t)
+            assert np.isclose(got[0], want, rtol=1e-4) and np.isclose(got[2], 8 * len(t))
+
+
+def test_other_languages_do_not_change_a_code_length():
+    rng = random.Random(3)
+    texts = {f"l{i:02}": ["".join(rng.choice("abcdefghij KÄ") for _ in range(300)).encode()] for i in range(40)}
+    text = "abc jKÄ dea".encode() * 9
+    assert np.isclose(language.Model({"l00": texts["l00"]}).code_lengths(text)[0], language.Model(texts).code_lengths(text)[0], rtol=1e-5)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_languages_in_capitals(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    model = language.fit(docs)
+    rows = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and language.LETTER.search(r["text"] or "")]
+    assert np.mean([model.judge(r["text"].upper())[0] == r["lang"] for r in rows]) > 0.99
+
+
 @needs_tables
 def test_languages(spark, small, odd, empty):
     model = language.fit(small)

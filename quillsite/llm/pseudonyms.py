@@ -6,9 +6,10 @@ function is a keyed SHA-256 digest, so a value has one pseudonym wherever it sta
 whoever has the key can go back. Only DataFrame functions run here; a text never leaves its row.
 
 Formats: e-mail addresses (the local part; letters stay letters, digits stay digits), IPv4 addresses with octets up to
-255, dates of the years 1800 to 2199 (2001-12-31, 31.12.2001, 31/12/2001, read day first), social security numbers with
-valid parts, phone numbers (+1 (234) 555-0199 with any country code, (234) 555-0199, 234-555-0199), card numbers of 13 to
-19 digits that pass the Luhn test, and hexadecimal secrets of 32 to 64 digits named as token, secret, key or password.
+255, dates of the years 1800 to 2199 (2001-12-31, 31.12.2001, 31/12/2001, read day first; 12/31/2001, month first where
+day first isn't valid), social security numbers with valid parts, phone numbers (+1 (234) 555-0199 with any country code,
+(234) 555-0199, 234-555-0199, 234 555 0199, these also after 1 and a space, dot or hyphen), card numbers of 13 to 19
+digits that pass the Luhn test, plain or grouped by 4-4-4-4, 4-6-5 or 4-6-4, and hexadecimal secrets of 32 to 64 digits named as token, secret, key or password.
 What only looks like one of these, such as a number that fails its test, is left as it is, and so is all other text.
 
 Cases: null stays null; a text without such data stays as it is. Equal rows change alike. Empty tables stay empty. Other
@@ -32,8 +33,9 @@ IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE_YMD = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 DATE_DMY = r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?!\d|[./]\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
-CARD = r"(?<!\d)\d{4}(?: \d{4}){3}(?!\d)|(?<!\d)\d{4}(?:-\d{4}){3}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
+PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])" \
+    r"|(?<![\w\-.+])(?<!\d )1[ .\-](?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-]| \d)|(?<![\d\-.])(?<!\d )\d{3} \d{3} \d{4}(?![\d\-]| \d)"
+CARD = r"(?<!\d)\d{4}(?: \d{4}){3}(?!\d)|(?<!\d)\d{4}(?:-\d{4}){3}(?!\d)|(?<!\d)\d{4} \d{6} \d{4,5}(?!\d)|(?<!\d)\d{4}-\d{6}-\d{4,5}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
 SECRET = r"(?<=(?i:token|secret|key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 ALL = "|".join((EMAIL, SECRET, IPV4, DATE_YMD, DATE_DMY, SSN, PHONE, CARD))
 #: Some character that every match has.
@@ -41,6 +43,8 @@ SIGN = "[0-9@]"
 
 #: 400 years have 146,097 days, whatever years they are: 27 times 5,411.
 EPOCH, DAYS = "1800-01-01", (27, 5411)
+LEAP_YEARS = [y for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+LONG_MONTHS = [1, 3, 5, 7, 8, 10, 12]
 
 
 def _digest(key: str, kind: str, r: Column, other: Column) -> Column:
@@ -115,7 +119,8 @@ def permute_card(card: Column, key: str) -> Column:
         new = let(permute_text(F.substr(d, F.lit(1), n - 1), key, "card"), lambda x: F.concat(x, ((10 - luhn_sum(x, F.lit(True)) % 10) % 10).cast("string")))
         sep = F.substr(card, F.lit(5), F.lit(1))
         grouped = let(new, lambda x: F.concat(F.substr(x, F.lit(1), F.lit(4)), sep, F.substr(x, F.lit(5), F.lit(4)), sep, F.substr(x, F.lit(9), F.lit(4)), sep, F.substr(x, F.lit(13))))
-        return F.when(luhn_sum(d, F.lit(False)) % 10 != 0, card).when(F.length(card) == n, new).otherwise(grouped)
+        wide = let(new, lambda x: F.concat(F.substr(x, F.lit(1), F.lit(4)), sep, F.substr(x, F.lit(5), F.lit(6)), sep, F.substr(x, F.lit(11))))
+        return F.when(luhn_sum(d, F.lit(False)) % 10 != 0, card).when(F.length(card) == n, new).when(n < 16, wide).otherwise(grouped)
 
     return let(F.regexp_replace(card, "[^0-9]", ""), of)
 
@@ -130,10 +135,28 @@ def permute_ip(ip: Column, key: str) -> Column:
     return let(F.split(ip, r"\."), of)
 
 
+def permute_month_first(day: Column, key: str) -> Column:
+    """MM/dd/yyyy for a date of the years 1800 to 2199 whose day is after the 12th, by another such date.
+
+    The days up to the 28th, the 29th and 30th, the 31st and 29 February are permuted each among themselves, so that no
+    result can be read day first.
+    """
+    y, m, d = F.year(day) - 1800, F.month(day), F.dayofmonth(day)
+    put = lambda year, month, dom: F.concat_ws("/", F.lpad(month.cast("int").cast("string"), 2, "0"), dom.cast("int").cast("string"), (year + 1800).cast("int").cast("string"))
+    pair = lambda a, b, sizes, kind, then: let(permute_pair(a, b, sizes, key, kind), then)
+    longs, leaps = (F.array(*map(F.lit, x)) for x in (LONG_MONTHS, LEAP_YEARS))
+    usual = pair(y * 12 + m - 1, d - 13, (4800, 16), "month first", lambda s: put(F.floor(s["a"] / 12), s["a"] % 12 + 1, s["b"] + 13))
+    late = pair(y * 11 + m - F.when(m > 2, 2).otherwise(1), d - 29, (4400, 2), "month first late", lambda s: put(F.floor(s["a"] / 11), let(s["a"] % 11, lambda x: x + F.when(x > 0, 2).otherwise(1)), s["b"] + 29))
+    last = pair(y, F.array_position(longs, m) - 1, (400, 7), "month first last", lambda s: put(s["a"], F.get(longs, s["b"].cast("int")), F.lit(31)))
+    leap = pair(F.array_position(leaps, y + 1800) - 1, F.lit(0), (len(LEAP_YEARS), 1), "month first leap", lambda s: put(F.get(leaps, s["a"].cast("int")) - 1800, F.lit(2), F.lit(29)))
+    return F.when(d <= 28, usual).when(d == 31, last).when(m == 2, leap).otherwise(late)
+
+
 def permute_date(date: Column, key: str) -> Column:
     """A date in the same notation for a date of the years 1800 to 2199; others as they are."""
     iso = F.substr(date, F.lit(5), F.lit(1)) == "-"
     plain = F.when(iso, date).otherwise(F.regexp_replace(date, r"^(\d+)[./](\d+)[./](\d+)$", "$3-$2-$1"))
+    american = F.try_to_date(F.regexp_replace(date, r"^(\d+)/(\d+)/(\d+)$", "$3-$1-$2"), "yyyy-M-d")
     day = F.datediff(F.try_to_date(plain, "yyyy-M-d"), F.lit(EPOCH).cast("date"))
 
     def of(n: Column) -> Column:
@@ -141,7 +164,8 @@ def permute_date(date: Column, key: str) -> Column:
         new = let(permute_pair(n % DAYS[0], F.floor(n / DAYS[0]), DAYS, key, "date"), lambda s: F.date_add(F.lit(EPOCH).cast("date"), (s["b"] * DAYS[0] + s["a"]).cast("int")))
         sep = F.regexp_extract(date, "[./]", 0)
         put = let(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy"))))
-        return F.when(n.isNull() | (n < 0) | (n >= size), date).otherwise(put)
+        month_first = let(american, lambda x: F.when(F.year(x).between(1800, 2199), permute_month_first(x, key)).otherwise(date))
+        return F.when(n.isNull() & date.contains("/"), month_first).when(n.isNull() | (n < 0) | (n >= size), date).otherwise(put)
 
     return let(day, of)
 
@@ -162,14 +186,14 @@ def permute_ssn(ssn: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """What a match of ALL is replaced by; itself if it isn't valid."""
     local = F.regexp_extract(m, "^[^@]*", 0)
-    country = F.regexp_extract(m, r"^\+\d+", 0)
+    country = F.regexp_extract(m, r"^\+\d+|^1(?=[ .\-])", 0)
     return (
         F.when(m.contains("@"), F.concat(permute_text(local, key, "email"), F.regexp_extract(m, "@.*$", 0)))
         .when(m.rlike(r"^[0-9A-Fa-f]{32,64}$"), permute_text(m, key, "secret", hexadecimal=True))
         .when(m.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), permute_ip(m, key))
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}[./]\d{1,2}[./]\d{4}$"), permute_date(m, key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), permute_ssn(m, key))
-        .when(m.rlike(r"^\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}$|^\d{13,19}$"), permute_card(m, key))
+        .when(m.rlike(r"^\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}$|^\d{4}[ \-]\d{6}[ \-]\d{4,5}$|^\d{13,19}$"), permute_card(m, key))
         .otherwise(F.concat(country, permute_text(F.substr(m, F.length(country) + 1), key, "phone")))
     )
 

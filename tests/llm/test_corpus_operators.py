@@ -271,6 +271,18 @@ def test_pseudonyms_keep_formats(spark):
     assert all(0 <= int(o) <= 255 for ip in re.findall(r"\d+\.\d+\.\d+\.\d+", got[4][0]) for o in ip.split("."))
 
 
+def test_pseudonyms_of_other_notations(spark):
+    private = ["on 12/31/2001 or 02/29/2024 or 6/30/1999 or 04/13/2000", "cards 3782 822463 10005, 3782-822463-10005, 3056 930902 5904", "call 1-234-555-0199 or 234 555 0199 or 1 (234) 555-0199", "13/31/2001, 02/30/2000, 3782 822463 10006, 1 234 555 0199 7"]
+    got = [r["text"] for r in pseudonyms.replace_pii(spark.createDataFrame(list(enumerate(private)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert [re.sub(r"\d", "9", x) for x in got] == [re.sub(r"\d", "9", x.replace(" 6/", " 06/")) for x in private] and got[3] == private[3]
+    for before, after in zip(private[:3], got):
+        assert not set(re.findall(r"\d[\d /-]{8,}\d", before)) & set(re.findall(r"\d[\d /-]{8,}\d", after))
+    assert all(luhn(re.sub(r"\D", "", c)) for c in got[1][6:].split(",")) and got[2].startswith("call 1-")
+    days = spark.sql("SELECT explode(sequence(DATE'1800-01-01', DATE'2199-12-31')) AS d").filter("day(d) > 12 AND year(d) % 8 < 5")
+    new = days.select(pseudonyms.permute_month_first(F.col("d"), "k").alias("v"), "d")
+    assert new.filter(F.try_to_date("v", "MM/dd/yyyy").isNull()).count() == 0 and new.select("v").distinct().count() == days.count()
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(5000)
     ip = n.select(F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(F.col("id") / 256).cast("string"), (F.col("id") % 256).cast("string")).alias("v"))

@@ -6,8 +6,9 @@ documents of a rejected host go, and a document that fails a rule stays only if
 
 Only DataFrame functions run here. The windows of one text never leave its row, so nothing but the measures is shuffled.
 
-Cases: a null or blank text has no words and fails. A null host is a host of its own. Equal rows are judged alike.
-An empty table gives an empty result. Other columns of the input are ignored, whatever their names.
+Cases: a null or blank text has no words and fails. A null host is a host of its own. Equal rows are judged alike; ids
+play no part, and may be null or equal. A text of any length is measured whole, in its row. An empty table gives an empty
+result. Other columns of the input are ignored by judge() and carried along by keep_good(), whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, SPACES, checkpointed, join_back, key_of, let, words_of
+from .common import LETTERS, SPACES, checkpointed, join_back, key_of, let, named, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 #: A host whose shrunk failure rate is above the first is rejected; below the second, it is trusted.
@@ -47,17 +48,23 @@ def repeated_words(words: Column) -> Column:
 def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", carry: bool = False) -> DataFrame:
     """Of every row: doc_id, host, n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words,
     base_failed, failed (some rule), and with carry the whole row as a struct."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(named(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     less = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("bigint")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rules = (20 * F.col("n_symbols") > F.col("word_chars")) | (2 * F.col("n_dup_lines") > F.col("n_lines")) | (2 * F.col("n_upper") > F.col("word_chars"))
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * carry
-    return docs.select(
-        *row, F.col(id).alias("doc_id"), key_of(F.col(host)).alias("host"), words_of(t).alias("w"), lines.alias("l"), F.length(F.translate(t, SPACES, "")).cast("bigint").alias("word_chars"), less(SYMBOLS).alias("n_symbols"), less(LETTERS).alias("n_upper"),
-    ).select(
-        *["row"] * carry, "doc_id", "host", F.size("w").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_upper", F.size("l").cast("bigint").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"), repeated_words(F.col("w")).alias("n_repeat_words"),
-    ).withColumn("base_failed", base).withColumn("failed", base | rules)
+    row = [F.struct(*map(named, docs.columns)).alias("row")] * carry
+    n_chars = lambda c: F.length(c).cast("bigint")
+    parts = docs.select(
+        *row, named(id).alias("doc_id"), key_of(named(host)).alias("host"), words_of(t).alias("w"), lines.alias("l"),
+        n_chars(F.translate(t, SPACES, "")).alias("word_chars"), less(SYMBOLS).alias("n_symbols"), less(LETTERS).alias("n_upper"),
+    )
+    size = lambda c: F.size(c).cast("bigint")
+    counts = parts.select(
+        *["row"] * carry, "doc_id", "host", size("w").alias("n_words"), "word_chars", "n_symbols", "n_upper",
+        size("l").alias("n_lines"), (size("l") - size(F.array_distinct("l"))).alias("n_dup_lines"), repeated_words(F.col("w")).alias("n_repeat_words"),
+    )
+    return counts.withColumn("base_failed", base).withColumn("failed", base | rules)
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
@@ -89,8 +96,9 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
 
 
 def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", reject_rate: float = REJECT_RATE, trust_rate: float = TRUST_RATE) -> DataFrame:
-    """The rows of docs that judge() keeps, whole. Texts are measured again rather than shuffled or written."""
-    rates = host_rates(measures(docs, id, text, host))
+    """The rows of docs that judge() keeps, whole. Texts are measured once: the rows that pass the base rules are written
+    with their verdict, the others without their texts, and read again once the hosts are known."""
     seen = measures(docs, id, text, host, carry=True)
-    out = join_back(seen, rates, "host", "n_docs").withColumnRenamed("rate", "host_rate")
+    seen = written(seen.select("host", "base_failed", "failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")))
+    out = join_back(seen, host_rates(seen), "host", "n_docs").withColumnRenamed("rate", "host_rate")
     return out.filter(verdict(reject_rate, trust_rate)).select("row.*")

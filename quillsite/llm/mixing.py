@@ -7,12 +7,19 @@ by every such step, and long documents come first, so that the one left undecide
 the nearer whole number. What a source then misses is made up for by one document whose size is nearest to it, twice.
 
 Documents meet in chunks of bounded size; each chunk leaves at most one undecided document, and these meet in chunks
-again, level by level, until one is left per source. Odds come from hashes of ids, so reruns agree however the rows
-are partitioned.
-
-Cases: a null or blank text has size 0 and is taken with 0 words. A null source is a source of its own, ranked last.
-An empty table gives an empty result. Rows that are equal in id and size are alike: it doesn't matter which is taken.
-Other columns of the input are carried along by mix() and ignored by plan().
+again, level by level, until one is left per source. Odds come from hashes of ids and texts, so reruns agree however the
+rows are partitioned.
+
+By the pivotal steps every document is expected to be taken as often as it is due. The one left at the end of a source and
+the two that make up for what it misses aren't left to chance: three documents of each source, at most, are off by less
+than a copy.
+
+Cases: a null or blank text has size 0 and is taken with 0 words. A null source is a source of its own, ranked last. Null
+and equal ids are no ties: documents are told apart by id, text and source. Repeats of one row are alike and counted, so
+it doesn't matter which of them is taken, and no chunk gets more of them than of others. Of documents that would make up
+equally well for what is missed, the one with the least id is chosen, then the one with the least hash. A text of any
+length is only counted. An empty table gives an empty result. Other columns of the input are carried along by mix(),
+whatever their names, and ignored by plan().
 """
 
 from __future__ import annotations
@@ -20,11 +27,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, join_back, key_of, words_of
+from .common import checkpointed, fresh, join_back, key_of, named, numbered, picked, row_key, words_of
 
 #: So many documents are rounded in one task; so many undecided ones meet on the next level.
 CHUNK, FAN = 8192, 4096
@@ -109,13 +116,28 @@ def _rounded(docs: DataFrame, seed: int) -> DataFrame:
 
 def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every row of docs."""
-    sized = checkpointed(docs.select(F.col(f"`{id}`").alias("doc_id"), key_of(F.col(f"`{source}`")).alias("skey"), F.size(words_of(F.col(f"`{text}`"))).cast("bigint").alias("size")))
+    return _plan(docs, id, text, source, weights, cap, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _keys(id: str, text: str, source: str) -> list[Column]:
+    k1, k2 = row_key(named(id), named(text))
+    return [k1.alias("k1"), k2.alias("k2"), key_of(named(source)).alias("skey")]
+
+
+def _plan(docs, id="doc_id", text="text", source="source", weights=WEIGHTS, cap=CAP, seed=42) -> DataFrame:
+    """(k1, k2, skey, doc_id, size, source_size, target, copies) of every row of docs."""
+    size = F.size(words_of(named(text))).cast("bigint").alias("size")
+    sized = docs.select(*_keys(id, text, source), named(id).alias("doc_id"), size)
+    alike = checkpointed(sized.groupBy("k1", "k2", "skey").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count("*").alias("m")))
+    sized = checkpointed(numbered(alike, "m", "j").withColumn("rid", F.xxhash64("k1", "k2", "skey", "j")).drop("m", "j"))
     facts = checkpointed(targets_of(sources_of(sized, weights), cap))
     due = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     rows = join_back(sized, facts.select("skey", "source_size", "target", "n_docs", F.col("n_docs").alias("n")), "skey", "n").withColumn("_due", due)
-    rid = F.coalesce("doc_id", F.lit(-1)).cast("bigint")
     chunks = F.ceil(F.col("n_docs") / CHUNK).cast("bigint")
-    rows = rows.select("doc_id", rid.alias("rid"), "skey", "size", "source_size", "target", F.floor("_due").cast("bigint").alias("whole"), (F.col("_due") - F.floor("_due")).alias("due"), "n_docs", F.pmod(F.xxhash64("doc_id", F.lit(seed)), chunks).alias("chunk"), chunks.alias("chunks"))
+    rows = rows.select(
+        "k1", "k2", "doc_id", "rid", "skey", "size", "source_size", "target", "n_docs", F.floor("_due").cast("bigint").alias("whole"), (F.col("_due") - F.floor("_due")).alias("due"),
+        F.pmod(F.xxhash64("rid", F.lit(seed)), chunks).alias("chunk"), chunks.alias("chunks"),
+    )
     level = checkpointed(_rounded(rows, seed))
     done = [level.filter("due <= 0 or due >= 1")]
     level = level.filter("due > 0 and due < 1")
@@ -129,10 +151,10 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
         out = out.unionByName(d)
     free = (F.try_divide("target", "source_size") % 1 > 1e-9) & (F.col("size") > 0)
     copies = (F.col("whole") + F.round("due").cast("bigint")).alias("copies")
-    out = checkpointed(out.select("doc_id", "skey", "size", "source_size", "target", "n_docs", copies, F.when(free, F.round("due").cast("int")).alias("up"), F.monotonically_increasing_id().alias("uid")))
+    out = checkpointed(out.select("k1", "k2", "doc_id", "rid", "skey", "size", "source_size", "target", "n_docs", copies, F.when(free, F.round("due").cast("int")).alias("up")))
     for _ in range(REPAIRS):
         out = _repaired(out)
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("k1", "k2", "skey", "doc_id", "size", "source_size", "target", "copies")
 
 
 def _repaired(rows: DataFrame) -> DataFrame:
@@ -145,21 +167,33 @@ def _repaired(rows: DataFrame) -> DataFrame:
     seen = join_back(rows, gaps, "skey", "n")
     left = F.abs(F.abs("gap") - F.col("size"))
     fits = (F.col("up") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (left < F.abs("gap"))
-    best = seen.filter(fits).groupBy("skey").agg(F.min(F.struct(left.alias("left"), "doc_id", "uid")).alias("b")).select("skey", F.col("b.uid").alias("best"))
+    best = seen.filter(fits).groupBy("skey").agg(F.min(F.struct(left.alias("left"), "doc_id", "rid")).alias("b")).select("skey", F.col("b.rid").alias("best"))
     n = gaps.select("skey", "n")
     rows = join_back(rows, n.join(best, "skey", "left"), "skey", "n")
-    chosen = F.coalesce(F.col("uid") == F.col("best"), F.lit(False))
+    chosen = F.coalesce(F.col("rid") == F.col("best"), F.lit(False))
     step = F.when(chosen, 1 - 2 * F.col("up")).otherwise(0)
     return checkpointed(rows.withColumn("copies", F.col("copies") + step).withColumn("up", F.col("up") + step).drop("best"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """docs with each row as often as the mix takes it; column copy counts from 1. Rows that aren't taken are gone."""
-    taken = plan(docs, id, text, source, **how)
-    alike = Window.partitionBy("_id", "_size")
-    rows = docs.withColumns({"_id": F.col(f"`{id}`"), "_size": F.size(words_of(F.col(f"`{text}`"))).cast("bigint")})
-    rows = rows.withColumn("_n", F.row_number().over(alike.orderBy(F.col(f"`{text}`"))))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies").withColumn("_n", F.row_number().over(alike.orderBy(F.desc("copies"))))
-    taken = taken.filter("copies > 0").toDF("_id2", "_size2", "copies", "_n2")
-    met = rows.join(taken, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_size") == F.col("_size2")) & (F.col("_n") == F.col("_n2")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns), "copy")
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", cap: int = CAP, **how) -> DataFrame:
+    """docs with each row as often as the mix takes it. Rows that aren't taken are gone.
+
+    A last column copy counts from 1; if there is one of this name already, underscores are added to it.
+    """
+    k1, k2, skey, copies, copy = fresh(docs.columns, "k1", "k2", "skey", "copies", "copy")
+    planned = _plan(docs, id, text, source, cap=cap, **how)
+    each = [F.count_if(F.col("copies") == c).alias(f"n{c}") for c in range(1, cap + 1)]
+    facts = checkpointed(planned.groupBy("k1", "k2", "skey").agg(F.count("*").alias("m"), F.max("copies").alias("copies"), *each))
+    one, many = facts.filter("m = 1 AND copies > 0").select("k1", "k2", "skey", "copies"), facts.filter("m > 1")
+    keyed = docs.withColumns(dict(zip((k1, k2, skey), _keys(id, text, source))))
+    met = keyed.join(one.toDF(k1, k2, skey, copies), [k1, k2, skey])
+    columns = [named(c) for c in docs.columns]
+    out = met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns, copy)
+    if many.isEmpty():
+        return out
+    # Repeats of one row: one of them stands for all and is written out as often as they are taken together.
+    again = picked(docs, checkpointed(many.select("k1", "k2").distinct()), row_key(named(id), named(text)), keep=True)
+    again = again.select(*_keys(id, text, source), F.struct(*columns).alias("row")).groupBy("k1", "k2", "skey").agg(F.first("row").alias("row"))
+    taken = many.select("k1", "k2", "skey", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"n{c}").alias("n")) for c in range(1, cap + 1)))).alias("x")).select("k1", "k2", "skey", "x.*")
+    rows = numbered(again.join(taken, ["k1", "k2", "skey"]), "n", "j")
+    return out.union(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "c"))).select("row.*", "copy"))

@@ -11,9 +11,13 @@ is one of the known words as a whole, or made of them and of words for place, ra
 element that holds most of the page's text outside links, unless it names comments; if nothing else is on the page,
 no class counts.
 
+Formulas (math) and what stands in for objects and scripts (object, noscript) are text like any other.
+
 Cases: a null, empty or textless page has an empty text. A page without markup is one block. Elements that are not
-closed, or closed without being open, are put right as browsers do. Equal rows give equal texts; an empty table gives an
-empty result. Other columns of the input are ignored, whatever their names.
+closed, or closed without being open, are put right as browsers do; a tag that doesn't end is text. Of containers with
+equal points the first one is kept. A page of any size is read whole, in time that grows with its size, however deep its
+elements are. Equal rows give equal texts; null and equal ids are carried along. An empty table gives an empty result.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import named
 
 # Fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title iframe template svg select annotation annotation-xml".split())
 SKIPPED = frozenset("nav header footer aside form button dialog menu head".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 BLOCKS = PARAGRAPHS | SKIPPED | frozenset("html body div section article main ul ol dl table thead tbody tfoot tr figure details address center fieldset hr".split())
@@ -44,28 +49,47 @@ UNLIKELY = re.compile(rf"(?!(?:section|block|content|item|box|list|text|body)[_-
 #: Of these, what marks a discussion, which may be longer than its article.
 DISCUSSION = re.compile(r"comment|disqus|replies|respond", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What is a menu if it mostly consists of links.
+MENUS = frozenset("ul ol dl table div section".split())
+#: So far up the open elements that make blocks, an open paragraph is looked for when another one begins.
+DEEP = 64
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
-SPACE = re.compile(r"\s+")
+#: Where markup begins; a tag up to its end, which isn't within quotes; a tag up to the next >.
+MARKUP = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 COMMAS = re.compile("[,，、،]")
 
 
 class Node:
-    __slots__ = ("chars", "classes", "discussion", "linked", "mark", "parent", "plain", "points", "skipped", "tag")
+    """An element. No element refers to itself or to one below it, so a page's tree goes as soon as it isn't needed."""
+
+    __slots__ = ("above", "chars", "classes", "discussion", "gone", "linked", "marked", "outer", "parent", "plain", "points", "skipped", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.points, self.chars, self.linked, self.plain = tag, parent, 0.0, 0, 0, 0
-        hard, marked, self.discussion, self.classes = judged(tag, attributes)
-        self.skipped = hard or parent is not None and parent.skipped
-        #: The nearest element with an unlikely class, from this one upwards.
-        self.mark: Node | None = self if marked else parent.mark if parent else None
+        self.tag, self.parent, self.points, self.chars, self.linked, self.plain, self.gone = tag, parent, 0.0, 0, 0, 0, False
+        if attributes:
+            self.skipped, self.marked, self.discussion, self.classes = judged(tag, attributes)
+        else:
+            self.skipped, self.marked, self.discussion, self.classes = tag in SKIPPED, False, False, ""
+        #: The nearest elements above that make blocks and that have an unlikely class.
+        self.above: Node | None = None
+        self.outer: Node | None = None
+        if parent:
+            self.skipped = self.skipped or parent.skipped
+            self.above = parent if parent.tag in BLOCKS else parent.above
+            self.outer = parent if parent.marked else parent.outer
+
+
+def mark_of(node: Node) -> Node | None:
+    return node if node.marked else node.outer
 
 
 def judged(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
     """Whether an element is skipped for good, is unlikely by its class, is a discussion; and its classes."""
     hard, marked, discussion, classes = tag in SKIPPED, False, False, ""
     whole = tag in ("html", "body", "article", "main")
-    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+    for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "class":
             classes = value
@@ -82,90 +106,114 @@ def judged(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
     return hard, marked, discussion, classes
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """The blocks of text in page order, each with the element it stands in and the characters in links. Counts characters along the way."""
-    root = Node("html", None)
-    stack, found, text, links = [root], [], [], [0]
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            block = SPACE.sub(" ", entities.unescape("".join(text))).strip()
+class Tree:
+    """The elements of a page in page order (nodes), and its blocks of text: (element, text, characters in links)."""
+
+    def __init__(self, page: str):
+        root = Node("html", None)
+        self.nodes, self.blocks = [root], []
+        # Open elements, by tag where they are in the stack, and where those are that make blocks.
+        self.stack, self.open, self.outlines = [root], {"html": [0]}, [0]
+        self.text: list[str] = []
+        self.linked, self.page = 0, page
+        self._read()
+        for node in reversed(self.nodes):  # children come after their parents
+            if node.parent:
+                node.parent.chars += node.chars
+                node.parent.linked += node.linked
+
+    def flush(self) -> None:
+        if self.text:
+            block = "".join(self.text)
+            block = " ".join((entities.unescape(block) if "&" in block else block).split())
             if block:
-                node = stack[-1]
-                while node.tag not in BLOCKS and node.parent:
-                    node = node.parent
-                found.append((node, block, min(linked, len(block))))
-                up: Node | None = node
-                while up:
-                    up.chars += len(block)
-                    up.linked += min(linked, len(block))
-                    up = up.parent
-            text.clear()
-        linked = 0
-
-    def add(s: str) -> None:
-        nonlocal linked
+                node, linked = self.stack[self.outlines[-1]], min(self.linked, len(block))
+                self.blocks.append((node, block, linked))
+                node.chars += len(block)
+                node.linked += linked
+            self.text.clear()
+        self.linked = 0
+
+    def add(self, s: str) -> None:
         if s:
-            text.append(s)
-            if links[0]:
-                linked += len(s.strip())
-
-    def close(at: int) -> None:
-        for node in stack[at:]:
-            if node.tag == "a":
-                links[0] -= 1
-        del stack[at:]
-
-    pos = 0
-    while True:
-        m = TAG.search(page, pos)
-        if not m:
-            break
-        add(page[pos : m.start()])
-        pos, (end, tag, attributes) = m.end(), m.groups()
-        if not tag:
-            continue
-        tag = tag.lower()
-        if end:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if tag in BLOCKS:
-                flush()
-            if at:
-                if any(n.tag in BLOCKS for n in stack[at:]):
-                    flush()
-                close(at)
-            continue
-        if tag in RAW:
-            if (stop := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)) is not None:
-                pos = stop.end()
-            elif tag in ("script", "style"):
-                pos = len(page)
-            continue
-        if tag in VOID:
-            if tag in BLOCKS:
-                flush()
-            elif tag == "br":
-                add(" ")
-            continue
+            self.text.append(s)
+            if self.open.get("a"):
+                self.linked += len(s.strip())
+
+    def close(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.open[node.tag].pop()
+        del self.stack[at:]
+        while self.outlines[-1] >= at:
+            self.outlines.pop()
+
+    def begin(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
-            flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or tag in ENDS.get(stack[i].tag, ()):
-                    close(i)
-                elif stack[i].tag in BLOCKS and stack[i].tag not in PARAGRAPHS:
+            self.flush()
+            for i in self.outlines[: -DEEP - 1 : -1]:
+                open_ = self.stack[i].tag
+                if open_ == "p" or tag in ENDS.get(open_, ()):
+                    self.close(i)
+                elif open_ not in PARAGRAPHS:
                     break
-        if tag == "a" and links[0]:
-            at = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "a")
-            close(at)
+        if tag == "a" and self.open.get("a"):
+            self.close(self.open["a"][-1])
         if attributes.endswith("/") and tag not in BLOCKS:
-            continue
-        stack.append(Node(tag, stack[-1], attributes))
-        links[0] += tag == "a"
-    add(page[pos:])
-    flush()
-    return found
+            return
+        node = Node(tag, self.stack[-1], attributes)
+        self.nodes.append(node)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.outlines.append(len(self.stack))
+        self.stack.append(node)
+
+    def end(self, tag: str) -> None:
+        at = (self.open.get(tag) or [0])[-1]
+        if tag in BLOCKS:
+            self.flush()
+        if at:
+            if self.outlines[-1] >= at:
+                self.flush()
+            self.close(at)
+
+    def _read(self) -> None:
+        page, pos, pattern, never = self.page, 0, TAG, set()
+        while m := MARKUP.search(page, pos):
+            start = m.start()
+            if page[start + 1] in "!?":
+                comment = page.startswith("<!--", start)
+                stop = page.find("-->" if comment else ">", start + 4 if comment else start)
+                self.add(page[pos:start])
+                pos = len(page) if stop < 0 else stop + (3 if comment else 1)
+                continue
+            tag = pattern.match(page, start)
+            if not tag and pattern is TAG:
+                pattern = PLAIN_TAG  # a quote that never ends: from here on quotes don't count
+                tag = pattern.match(page, start)
+            if not tag:
+                break
+            self.add(page[pos:start])
+            pos, (end, name, attributes) = tag.end(), tag.groups()
+            name = name.lower()
+            if end:
+                self.end(name)
+            elif name in RAW:
+                stop = None if name in never else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+                if stop:
+                    pos = stop.end()
+                elif name in ("script", "style"):
+                    pos = len(page)
+                else:
+                    never.add(name)
+            elif name in VOID:
+                if name in BLOCKS:
+                    self.flush()
+                elif name == "br":
+                    self.add(" ")
+            else:
+                self.begin(name, attributes)
+        self.add(page[pos:])
+        self.flush()
 
 
 def density(node: Node) -> float:
@@ -174,24 +222,20 @@ def density(node: Node) -> float:
 
 def article_blocks(page: str) -> list[tuple[Node, str]]:
     """The blocks that neither an element nor a class rules out."""
-    found = [x for x in blocks_of(page) if not x[0].skipped]
-    marks: dict[int, Node] = {}
-    for node, block, linked in found:
-        mark = node.mark
-        while mark:
+    tree = Tree(page)
+    found = [x for x in tree.blocks if not x[0].skipped]
+    marks = [n for n in tree.nodes if n.marked]
+    for node, block, linked in found if marks else ():
+        if mark := mark_of(node):
             mark.plain += len(block) - linked
-            marks[id(mark)] = mark
-            mark = mark.parent.mark if mark.parent else None
+    for mark in reversed(marks):
+        if mark.outer:
+            mark.outer.plain += mark.plain
     half = sum(len(block) - linked for _, block, linked in found) / 2
-    out = {k for k, m in marks.items() if m.discussion or m.plain <= half}
-
-    def stays(node: Node) -> bool:
-        mark = node.mark
-        while mark and id(mark) not in out:
-            mark = mark.parent.mark if mark.parent else None
-        return mark is None
-
-    return [(n, b) for n, b, _ in found if stays(n)] or [(n, b) for n, b, linked in found if 2 * linked < len(b)]
+    for mark in marks:
+        mark.gone = mark.plain > 0 and (mark.discussion or mark.plain <= half) or mark.outer is not None and mark.outer.gone
+    stays = [(n, b) for n, b, _ in found if not ((mark := mark_of(n)) and mark.gone)]
+    return stays or [(n, b) for n, b, linked in found if 2 * linked < len(b)]
 
 
 def run_around(entries: list[Node | None], best: Node, enough: float, on: bool, loose: bool) -> set[int]:
@@ -221,7 +265,7 @@ def main_text(page: str | None) -> str:
         return ""
     scored: dict[int, Node] = {}
     for node, block in blocks:
-        points = 1 + len(COMMAS.findall(block)) + min(len(block) / 100, 3)
+        points = 1 + (block.count(",") if block.isascii() else len(COMMAS.findall(block))) + min(len(block) / 100, 3)
         up = node.parent if node.tag in PARAGRAPHS and node.parent else node
         share = 1.0
         while up and share > 0.1:
@@ -243,15 +287,16 @@ def main_text(page: str | None) -> str:
     entries: list[Node | None] = []
     of: list[int] = []
     titles: list[int] = []
+    places = Places(levels)
     for k, (node, _) in enumerate(blocks):
-        child, up = None, node
-        while id(up) not in levels:
-            child, up = up, up.parent
-        level = levels[id(up)]
+        level, child, _ = places.of(node)
         if level > at + 1:
             of.append(-1)
             if not entries:
-                titles = [*titles, k] if child and child.tag in HEADINGS and density(child) < 0.25 else []
+                if child and child.tag in HEADINGS and density(child) < 0.25:
+                    titles.append(k)
+                else:
+                    titles = []
             continue
         entry = top if level <= at else child
         if not entries or entry is None or entries[-1] is not entry:
@@ -260,17 +305,33 @@ def main_text(page: str | None) -> str:
     around, ahead = run_around(entries, top, enough, not whole, top is best), set(titles)
     out = []
     for k, (node, block) in enumerate(blocks):
-        if of[k] not in around and k not in ahead:
-            continue
-        up, menu = node, False
-        while not menu and id(up) not in levels:
-            menu = up.tag in ("ul", "ol", "dl", "table", "div", "section") and density(up) > 0.5
-            up = up.parent
-        if not menu and (levels[id(up)] == 0 or density(node) <= 0.5):
+        level, _, menu = places.of(node)
+        if (of[k] in around or k in ahead) and not menu and (level == 0 or density(node) <= 0.5):
             out.append(block)
     return "\n".join(out)
 
 
+class Places:
+    """Where elements stand as seen from the best container; levels: it and its ancestors, numbered from it upwards."""
+
+    def __init__(self, levels: dict[int, int]):
+        self.levels = levels
+        self.known: dict[int, tuple[int, Node | None, bool]] = {}
+
+    def of(self, node: Node) -> tuple[int, Node | None, bool]:
+        """The level that holds the node, its child on the way there, and whether a menu is between."""
+        path: list[Node] = []
+        while (found := self.known.get(id(node))) is None and (at := self.levels.get(id(node))) is None:
+            path.append(node)
+            node = node.parent
+        level, child, menu = found or (at, None, False)
+        for x in reversed(path):
+            child = child or x
+            menu = menu or x.tag in MENUS and density(x) > 0.5
+            self.known[id(x)] = level, child, menu
+        return level, child, menu
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h.as_py()) for h in batch.column(2)]
@@ -279,5 +340,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
-    plain = pages.select(F.col(f"`{id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
+    plain = pages.select(named(id).cast("bigint").alias("page_id"), named(url).alias("url"), named(page).alias("html"))
     return plain.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -11,32 +11,36 @@ So up to order 1 it stands in a table, and for orders 2 and 3 only what was seen
 languages that saw it, sorted by its bytes. Neither the alphabet nor the order depends on how many languages there are;
 memory follows the bytes of the sample.
 
-The model is fitted on a bounded sample of documents for each language, those with the smallest hashes of their ids;
-all texts are scored whole.
-
-Cases: a null text and one without a letter is `und` with score 0. Documents of unknown language teach nothing; if no
-document does, every text is `und`. Equal rows are judged alike; ties go to the language first in code point order. An
-empty table gives an empty result. Other columns of the input are ignored, whatever their names.
+The model is fitted on a bounded sample of documents for each language, those with the smallest hashes of their ids, as
+far as they fit into a number of bytes; all texts are scored whole.
+
+Cases: a null text and one without a letter (Unicode's category L) is `und` with score 0. Documents of unknown language
+teach nothing, nor do those without an id or text; if no document does, every text is `und`. Of texts with equal id and
+language the least one teaches. Equal rows are judged alike; null and equal ids are carried along; ties go to the language
+first in code point order. Long texts are scored piece by piece, and the pieces' bits are added up. An empty table gives
+an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, checkpointed
+from .common import bounded, checkpointed, named
 
 #: The order of the longest context, and the documents for each language in the sample.
 ORDER, SAMPLE = 3, 400
+#: The bytes of a language in the sample, at most.
+BYTES = 2_000_000
 #: So many grams are counted at once.
 AT_ONCE = 1 << 22
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Texts are scored in pieces of so many bytes, to bound memory; pieces overlap by the context.
 PIECE = 1 << 20
 
@@ -202,23 +206,41 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id.cast("string"), "utf-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """The model of docs that aren't held out, from at most `sample` documents for each language.
+def within(sizes: list[tuple], most: int) -> list:
+    """The first ones of (id, size), in their order, passing over those that don't fit; the smallest one if none does."""
+    out, left = [], most
+    for id, n in sizes:
+        if n <= left:
+            out.append(id)
+            left -= n
+    return out or [min(sizes, key=lambda x: x[1])[0]] if sizes else []
+
+
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """The model of docs that aren't held out, from at most `sample` documents and `most` bytes for each language.
 
     The sample is chosen by ids and languages alone. A threshold on the hash, from the language's count, first leaves
     about three times the sample, so what meets in one task is bounded however frequent the language is.
     """
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    known = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.select(named(id).alias("doc_id"), named(lang).alias("lang"), named(text).alias("text"))
+    known = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = bounded(checkpointed(known.groupBy("lang").agg(F.count("*").alias("n"))))
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = known.select("doc_id", "lang", share.alias("r")).join(counts, "lang").filter(F.col("r") * F.col("n") < 3 * sample)
+    near = near.select("doc_id", "lang", "r").distinct()
     chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id"))).filter(F.col("n") <= sample)
-    ids = chosen.select("doc_id").distinct()
+    met = known.filter(F.col("text").isNotNull()).join(bounded(checkpointed(chosen.select("doc_id", "lang", "r"))), ["doc_id", "lang"])
+    met = checkpointed(met.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.first("r").alias("r")))
+    by: dict[str, list[tuple]] = {}
+    for r in met.select("doc_id", "lang", F.octet_length("text").alias("n")).orderBy("lang", "r", "doc_id").collect():
+        by.setdefault(r["lang"], []).append((r["doc_id"], r["n"]))
+    fitting = {x: set(within(sizes, most)) for x, sizes in by.items()}
+    if any(len(fitting[x]) < len(by[x]) for x in by):
+        keys = [(d, x) for x, ids in fitting.items() for d in ids]
+        met = met.join(bounded(met.sparkSession.createDataFrame(keys, met.select("doc_id", "lang").schema)), ["doc_id", "lang"])
     texts: dict[str, list[bytes]] = {}
-    got = known.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("lang", "text").toPandas()
-    for x, t in sorted(zip(got["lang"], got["text"])):
-        texts.setdefault(x, []).append(t.encode("utf-8", "surrogatepass"))
+    for r in met.orderBy("lang", "doc_id").select("lang", "text").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
     return Model(texts)
 
 
@@ -231,5 +253,5 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
             found = [shared.value.judge(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), held_out(F.col(f"`{id}`")).alias("held_out"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(named(id).alias("doc_id"), held_out(named(id)).alias("held_out"), named(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

@@ -2,19 +2,23 @@
 
 Features of a text: the density of lexicon words, how near they stand to the second person, capitals, punctuation and
 obfuscation. The lexicon has a fixed part and a learned one: words and beginnings of words that are far more frequent in
-toxic training documents. Trees are fitted to features whose lexicon was learned on other rows, and calibrated on scores
-whose trees were fitted to other rows (three folds), so neither sees its own answers. The calibration is isotonic.
-
-The model is fitted on a bounded sample of labelled documents, those with the smallest hashes of their ids; all texts
-are scored whole.
-
-Cases: a null or blank text has all features zero and gets a score too. Without labelled documents, or without toxic
-ones, every score is 0. A document with several labels counts as toxic if one of them says so. Equal rows are scored
-alike; an empty table gives an empty result. Other columns of the input are ignored, whatever their names.
+toxic training documents. Nothing sees its own answers: trees are fitted to features whose lexicon was learned on other
+rows (three folds), and calibrated on scores of rows that neither the trees nor any lexicon of their features had seen.
+The calibration is isotonic.
+
+The model is fitted on a bounded sample of labelled documents, those with the smallest hashes of their ids, as far as
+they fit into a number of characters; all texts are scored whole.
+
+Cases: a null or blank text has all features zero and gets a score too. Without labelled documents every score is 0; if
+all are toxic or none is, every score is the share of toxic ones, 1 or 0. A document with several labels counts as toxic
+if one of them says so; of texts with equal ids the least one teaches, and a label without an id teaches nothing. Equal
+rows are scored alike; null and equal ids are carried along. Ties between cuts of a feature go to the first feature and
+the lowest cut. An empty table gives an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language import held_out
+from .common import bounded, checkpointed, named
+from .language import held_out, within
 
 #: Labelled documents in the sample, and the score from which a document is predicted to be toxic.
 SAMPLE, THRESHOLD = 12_000, 0.3
+#: The characters of the sample, at most.
+CHARS = 48_000_000
 FOLDS, TREES, DEPTH, RATE, BINS, LEAST = 3, 80, 3, 0.1, 64, 10
 #: A learned entry is in so many toxic documents, and so many times as frequent there as in others.
 SUPPORT, RATIO, PREFIX = 8, 8.0, (3, 10)
@@ -78,41 +85,102 @@ class Lexicon:
         return w
 
 
-def learn(toxic: list[Counter], others: list[Counter], n_toxic: int, n_others: int, without: int = -1) -> Lexicon:
-    """The lexicon of counts by fold, of all folds but one; both numbers are those of the documents in these folds."""
-    sums = [sum((c for k, c in enumerate(x) if k != without), Counter()) for x in (toxic, others)]
-    weights = {}
-    for e, a in sums[0].items():
-        if a >= SUPPORT:
-            ratio = (a / max(n_toxic, 1)) / ((sums[1].get(e, 0) + 0.5) / (n_others + 1))
-            if ratio >= RATIO:
-                weights[e] = float(np.log(ratio))
-    return Lexicon(weights)
+def near(at: np.ndarray, you: np.ndarray) -> int:
+    """How many of the sorted places at are at most three words away from one of the sorted places you."""
+    if not len(at) or not len(you):
+        return 0
+    k = np.searchsorted(you, at)
+    gap = np.minimum(np.abs(at - you[np.minimum(k, len(you) - 1)]), np.abs(at - you[np.maximum(k - 1, 0)]))
+    return int((gap <= 3).sum())
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
+def parts(text: str | None) -> tuple[list[str], list[str], list[float]]:
+    """The words of a text, its masked words in plain letters, and shares of characters and words, as the end of NAMES."""
     text = text or ""
     words = tokens(text)
-    n, counts = max(len(words), 1), Counter(words)
-    hit = {w: x for w in counts if (x := lexicon.weight(w)) > 0}
-    fixed = {w for w in counts if w in INSULTS}
-    hits, in_fixed = sum(counts[w] for w in hit), sum(counts[w] for w in fixed)
-    near = 0
-    if hits + in_fixed and not SECOND.isdisjoint(counts):
-        you = np.array([i for i, w in enumerate(words) if w in SECOND])
-        at = np.array([i for i, w in enumerate(words) if w in hit or w in fixed])
-        k = np.searchsorted(you, at)
-        gap = np.minimum(np.abs(at - you[np.minimum(k, len(you) - 1)]), np.abs(at - you[np.maximum(k - 1, 0)]))
-        near = int((gap <= 3).sum())
     masked = MASKED_WORD.findall(text) if MASKED.search(text) else []
-    plain = [m.lower().translate(LEET) for m in masked]
-    masked_hits = sum(lexicon.weight(w) > 0 or w in INSULTS for w in plain)
-    size = max(len(text), 1)
-    upper = len(UPPER.findall(text))
-    return [
-        float(np.log1p(hits)), hits / n, float(sum(counts[w] * x for w, x in hit.items())) / n, near / n, float(np.log1p(in_fixed)), in_fixed / n, float(np.log1p(masked_hits)), len(masked) / n, len(LONG.findall(text)) / n,
-        upper / size, float(upper > 0.5 * size), len(MARKS.findall(text)) / size, len(OTHER.findall(text)) / size, sum(counts[w] for w in SECOND if w in counts) / n, float(np.log1p(len(words))),
+    n, size, upper = max(len(words), 1), max(len(text), 1), len(UPPER.findall(text))
+    shares = [
+        len(masked) / n, len(LONG.findall(text)) / n, upper / size, float(upper > 0.5 * size), len(MARKS.findall(text)) / size, len(OTHER.findall(text)) / size,
+        sum(w in SECOND for w in words) / n, float(np.log1p(len(words))),
     ]
+    return words, [m.lower().translate(LEET) for m in masked], shares
+
+
+def joined(n: int, weights: list[float], hits: int, close: int, fixed: int, masked_hits: int, shares: list[float]) -> list[float]:
+    """The features, in the order of NAMES. Weights are added up exactly, so their order doesn't matter."""
+    n = max(n, 1)
+    return [float(np.log1p(hits)), hits / n, math.fsum(weights) / n, close / n, float(np.log1p(fixed)), fixed / n, float(np.log1p(masked_hits)), *shares]
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    words, plain, shares = parts(text)
+    counts = Counter(words)
+    hit = {w: x for w in counts if (x := lexicon.weight(w)) > 0}
+    at = np.array([i for i, w in enumerate(words) if w in hit or w in INSULTS], np.int64) if hit or not INSULTS.isdisjoint(counts) else np.zeros(0, np.int64)
+    you = np.array([i for i, w in enumerate(words) if w in SECOND], np.int64) if len(at) else at
+    masked_hits = sum(w in INSULTS or lexicon.weight(w) > 0 for w in plain)
+    return joined(len(words), [counts[w] * x for w, x in hit.items()], sum(counts[w] for w in hit), near(at, you), sum(counts[w] for w in counts if w in INSULTS), masked_hits, shares)
+
+
+class Sample:
+    """Labelled texts as numbers of words, with what their features need besides a lexicon.
+
+    counts: for each class and fold, in how many documents each entry is. Only entries of enough toxic documents can
+    enter a lexicon, and no others are kept.
+    """
+
+    def __init__(self, texts: list[str | None], y: np.ndarray, fold: np.ndarray):
+        self.vocabulary: dict[str, int] = {}
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.words, self.plain, self.shares = [], [], []
+        for t in texts:
+            words, plain, shares = parts(t)
+            self.words.append(np.fromiter(map(number, words), np.int32, len(words)))
+            self.plain.append(plain)
+            self.shares.append(shares)
+        self.names = list(self.vocabulary)
+        self.insult, self.second = (np.array([w in known for w in self.names], bool) for known in (INSULTS, SECOND))
+        support: Counter = Counter()
+        for ids, v in zip(self.words, y):
+            if v:
+                support.update(entries({self.names[i] for i in np.unique(ids)}))
+        self.entries = sorted(e for e, a in support.items() if a >= SUPPORT)
+        at = {e: i for i, e in enumerate(self.entries)}
+        own = [np.array(sorted(at[e] for e in entries({w}) if e in at), np.int64) for w in self.names]
+        size = np.array([len(x) for x in own], np.int64)
+        self.starts, self.own = np.concatenate([[0], np.cumsum(size)]), np.concatenate([*own, np.zeros(0, np.int64)])
+        self.counts = np.zeros((2, FOLDS, len(self.entries)), np.int64)
+        for ids, v, k in zip(self.words, y, fold):
+            found = [self.own[self.starts[i] : self.starts[i + 1]] for i in np.unique(ids)]
+            if found:
+                self.counts[int(v), k, np.unique(np.concatenate(found))] += 1
+        self.size = np.array([[((y == v) & (fold == k)).sum() for k in range(FOLDS)] for v in (0, 1)])
+
+    def lexicon(self, *without: int) -> Lexicon:
+        """The lexicon of all folds but some."""
+        used = [k for k in range(FOLDS) if k not in without]
+        (n0, n1), (others, toxic) = self.size[:, used].sum(axis=1), self.counts[:, used].sum(axis=1)
+        ratio = (toxic / max(n1, 1)) / ((others + 0.5) / (n0 + 1))
+        return Lexicon({self.entries[i]: float(np.log(ratio[i])) for i in np.flatnonzero((toxic >= SUPPORT) & (ratio >= RATIO))})
+
+    def features(self, rows: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+        """What features() gives for some of the texts."""
+        known = np.array([lexicon.weights.get(e, 0.0) for e in self.entries] + [0.0])
+        some = self.starts[1:] > self.starts[:-1]
+        weight = np.zeros(len(self.names))
+        if some.any():  # the greatest weight of a word's entries; runs of words without any are empty
+            weight[some] = np.maximum.reduceat(known[self.own], self.starts[:-1][some])
+        out = []
+        for r in rows:
+            ids = self.words[r]
+            hit, fixed = weight[ids] > 0, self.insult[ids]
+            at = np.flatnonzero(hit | fixed)
+            found, n = np.unique(ids[hit], return_counts=True)
+            masked_hits = sum(w in INSULTS or lexicon.weight(w) > 0 for w in self.plain[r])
+            close = near(at, np.flatnonzero(self.second[ids])) if len(at) else 0
+            out.append(joined(len(ids), (n * weight[found]).tolist(), int(hit.sum()), close, int(fixed.sum()), masked_hits, self.shares[r]))
+        return np.array(out).reshape(-1, len(NAMES))
 
 
 class Trees:
@@ -192,49 +260,44 @@ class Model:
 
     def __init__(self, texts: list[str | None], toxic: list[int]):
         y = np.array(toxic, float)
-        self.trees = None
+        self.trees, self.constant = None, float(y.mean()) if len(y) else 0.0
         if not 0 < y.sum() < len(y):
             return
         fold = np.arange(len(y)) % FOLDS
-        # Only entries of enough toxic documents can enter a lexicon, so others are counted for these alone.
-        counts = [[Counter() for _ in range(FOLDS)] for _ in (0, 1)]
-        for k, t, v in zip(fold, texts, toxic):
-            if v:
-                counts[1][k].update(entries(set(tokens(t))))
-        enough = {e for e, a in sum(counts[1], Counter()).items() if a >= SUPPORT}
-        counts[1] = [Counter({e: a for e, a in c.items() if e in enough}) for c in counts[1]]
-        for k, t, v in zip(fold, texts, toxic):
-            if not v:
-                counts[0][k].update(entries(set(tokens(t))) & enough)
-        n1, n0 = int(y.sum()), int((1 - y).sum())
-        x = np.zeros((len(y), len(NAMES)))
+        sample = Sample(texts, y, fold)
+        rows = [np.flatnonzero(fold == k) for k in range(FOLDS)]
+        x, apart = np.zeros((len(y), len(NAMES))), np.zeros(len(y))
         for k in range(FOLDS):
-            own = fold == k
-            m1 = int(y[own].sum())
-            lexicon = learn(counts[1], counts[0], n1 - m1, n0 - int(own.sum()) + m1, without=k)
-            x[own] = [features(texts[i], lexicon) for i in np.flatnonzero(own)]
-        apart = np.zeros(len(y))
+            x[rows[k]] = sample.features(rows[k], sample.lexicon(k))
         for k in range(FOLDS):
-            apart[fold == k] = Trees(x[fold != k], y[fold != k]).score(x[fold == k])
+            rest = [j for j in range(FOLDS) if j != k]
+            seen = np.concatenate([sample.features(rows[j], sample.lexicon(j, k)) for j in rest])
+            apart[rows[k]] = Trees(seen, np.concatenate([y[rows[j]] for j in rest])).score(x[rows[k]])
         self.points = isotonic(apart, y)
-        self.trees, self.lexicon = Trees(x, y), learn(counts[1], counts[0], n1, n0)
+        self.trees, self.lexicon = Trees(x, y), sample.lexicon()
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None or not texts:
-            return np.zeros(len(texts))
+            return np.full(len(texts), self.constant)
         x = np.array([features(t, self.lexicon) for t in texts])
         return np.clip(np.interp(self.trees.score(x), *self.points), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The model of labelled documents that aren't held out, from at most `sample` of them."""
-    known = labels.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{toxic}`").alias("toxic")).filter("toxic is not null")
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, chars: int = CHARS) -> Model:
+    """The model of labelled documents that aren't held out, from at most `sample` of them and so many characters."""
+    known = labels.select(named(id).alias("doc_id"), named(toxic).alias("toxic")).filter("toxic is not null")
     known = known.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-    texts = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    got = got.sort_values(["doc_id", "text"], kind="stable")
-    return Model([t if isinstance(t, str) else None for t in got["text"]], [int(v > 0) for v in got["toxic"]])
+    texts = docs.select(named(id).alias("doc_id"), named(text).alias("text"))
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    got = checkpointed(got.withColumn("r", F.xxhash64("doc_id", F.lit(3))))
+    sizes = got.select("doc_id", "r", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("r", "doc_id").collect()
+    ids = within([(r["doc_id"], r["n"]) for r in sizes], chars)
+    if len(ids) < len(sizes):
+        own = got.sparkSession.createDataFrame([(i,) for i in ids], got.select("doc_id").schema)
+        got = got.join(bounded(own), "doc_id")
+    rows = got.orderBy("doc_id").select("text", "toxic").collect()
+    return Model([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -246,5 +309,5 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
             found = shared.value.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array(found >= threshold).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), held_out(F.col(f"`{id}`")).alias("held_out"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(named(id).alias("doc_id"), held_out(named(id)).alias("held_out"), named(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -16,12 +16,16 @@ Both steps are exact, so a word is removed if and only if it lies in a duplicate
 bits of hash (anchor and content), windows by 128 bits.
 
 A block has a bounded number of characters and sends at most one row for each different phrase, so a passage that stands
-in very many documents meets the index once for each block. Texts are shuffled to their blocks once; the steps read that
-shuffle again.
-
-Cases: a null or blank text has no words, nothing is removed, and kept_sha256 is that of the empty text. Rows with equal
-ids are documents in the order of their texts; of equal rows one counts as the first. A null id comes before all others.
-An empty table gives an empty result. Other columns of the input are ignored, whatever their names.
+in very many documents meets the index once for each block: no key of a window has more rows than there are blocks, of
+about 40 bytes each. Texts are shuffled to their blocks once; the steps read that shuffle again. Texts too short for a
+window aren't shuffled at all, nor are repeats of one row but the first.
+
+Cases: a null or blank text has no words, nothing is removed, and kept_sha256 is that of the empty text. A null id comes
+before all others; such documents are in the order of a hash of their texts. Other documents of equal id are in the order
+of their texts and share a block, so ids should not repeat without end. Rows of equal id and text are repeats: the first
+is a document like any other, and of the rest all is removed if there are enough words for a window. A long text makes
+its block longer and is handled whole. An empty table gives an empty result. Other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import checkpointed, named, numbered, picked, row_key, words_of
+
 WINDOW, GRAM = 20, 8
 #: Characters in a reference block, on average.
 BLOCK_CHARS = 4_000_000
@@ -239,12 +245,10 @@ def _factors(block: Block, k: np.ndarray, d, at, src_d, src_at) -> tuple[np.ndar
 
 def _kept(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
     """What is left of each document of a block without the words of its spans."""
-    block = Block.__new__(Block)
     rows = sorted(zip(docs["d"].to_pylist(), ["" if t is None else t for t in docs["text"].to_pylist()], docs["doc_id"].to_pylist()), key=lambda r: r[:2])
     by: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, at, n in zip(*(spans[c].to_pylist() for c in ("d", "at", "n"))):
         by.setdefault((d, at >> 32), []).append((at & 0xFFFFFFFF, n))
-    del block
     out, rank = [], 0
     for i, (d, text, id) in enumerate(rows):
         rank = rank + 1 if i and rows[i - 1][0] == d else 0
@@ -262,11 +266,14 @@ def _kept(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
 
 
 def blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(pid, d, doc_id, text): the documents with their blocks."""
-    doc_id, t = F.col(f"`{id}`").cast("bigint"), F.col(f"`{text}`")
-    chars = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
+    """(pid, d, doc_id, text): the documents with their blocks; d puts them in order."""
+    doc_id, t = named(id).cast("bigint"), named(text)
+    chars, low = docs.agg(F.coalesce(F.sum(F.octet_length(t)), F.lit(0)), F.min(doc_id)).first()
     n = max(1, -(-chars // block_chars))
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n)).alias("pid"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"), doc_id.alias("doc_id"), t.alias("text"))
+    # Documents without an id are spread below all ids, unless ids are so low that there is no room for them.
+    own = F.shiftrightunsigned(F.xxhash64(t), 2) if low is None or low >= -(1 << 62) else F.lit(0)
+    d = F.coalesce(doc_id, F.lit(-(1 << 63)) + own)
+    return docs.select(d.alias("d"), doc_id.alias("doc_id"), t.alias("text")).select(F.pmod(F.xxhash64("d"), F.lit(n)).alias("pid"), "d", "doc_id", "text")
 
 
 def spans(dealt: DataFrame) -> DataFrame:
@@ -294,5 +301,26 @@ def spans(dealt: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of docs."""
-    dealt = blocks(docs, id, text, block_chars)
+    rows = docs.select(named(id).cast("bigint").alias("doc_id"), named(text).alias("text"))
+    long = F.coalesce(F.octet_length("text") >= 2 * WINDOW - 1, F.lit(False))
+    words = words_of(F.col("text"))
+    count = F.size("w").cast("bigint")
+    kept = F.sha2(F.array_join("w", " "), 256).alias("kept_sha256")
+    short = rows.filter(~long).select("doc_id", words.alias("w")).select("doc_id", count.alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), kept)
+    key = row_key(F.col("doc_id"), F.col("text"))
+    rows = rows.filter(long)
+    repeated = checkpointed(rows.groupBy(key[0].alias("k1"), key[1].alias("k2")).agg(F.count("*").alias("n")).filter("n > 1"))
+    if repeated.isEmpty():
+        return _deduplicated(rows, block_chars).union(short)
+    again = picked(rows, repeated, key, keep=True).select(key[0].alias("k1"), key[1].alias("k2"), F.struct("doc_id", "text").alias("row"))
+    first = checkpointed(again.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(repeated, ["k1", "k2"]))
+    copies = numbered(first.select("k1", "k2", "row.doc_id", words_of(F.col("row.text")).alias("w"), (F.col("n") - 1).alias("n")), "n", "j")
+    gone = count >= WINDOW
+    rest = copies.select("doc_id", count.alias("n_words"), F.when(gone, count).otherwise(0).alias("n_removed"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(kept).alias("kept_sha256"))
+    one = picked(rows, repeated, key, keep=False).union(first.select("row.*"))
+    return _deduplicated(one, block_chars).union(rest).union(short)
+
+
+def _deduplicated(docs: DataFrame, block_chars: int) -> DataFrame:
+    dealt = blocks(docs, block_chars=block_chars)
     return dealt.groupBy("pid").cogroup(spans(dealt).groupBy("pid")).applyInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

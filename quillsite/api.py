@@ -43,6 +43,10 @@ class Federation:
     def check(self, kinds: dict[str, tuple]) -> DataFrame:
         return preprocess.data_check(self.train.df, kinds, self.train.site)
 
+    def encode(self, kinds: dict[str, tuple], strict: bool = True) -> Federation:
+        """Every category of a schema as columns; nothing changes if it has none."""
+        return self.apply(lambda sf: preprocess.one_hot_all(sf, kinds, strict))
+
     def one_hot(self, column: str, values: list[str]) -> Federation:
         def step(sf: SiteFrame) -> SiteFrame:
             made = tuple(f"{column}_{v}" for v in sorted(values))
@@ -100,10 +104,13 @@ class Federation:
     # Training and scoring.
 
     def fit(self, model: str, mode: int = 6, **how):
-        """A trained model; how: what the model's own function takes. Kernel models need centroids and sigma."""
+        """A trained model; how: what the model's own function takes, and nothing else. Kernel models need centroids and
+        sigma. balance: the column of classes whose rows are to weigh alike, for linear models and budget SVMs."""
         if model not in MODELS.get(mode, ()):
             raise ValueError(f"mode {mode} has {', '.join(MODELS.get(mode, ()))}")
         sf, val = self.train, self.validation
+        if balance := how.pop("balance", None):
+            how["weight"] = stats.balancing(sf, balance)
         if model == "RR":
             return linear.ridge(sf, **how)
         if model in ("LR", "LC", "MLC"):
@@ -113,7 +120,9 @@ class Federation:
                 how["classes"] = sorted(r[0] for r in sf.df.select(label).distinct().collect())
             return linear.descend(sf, "linear" if model == "LR" else "sigmoid", validation=val if model == "LC" and mode == 6 else None, **how)
         if model == "Kmeans":
-            how = {"least_rows": 1 if mode <= 3 else 3, "relocate": mode >= 4} | how
+            how = {"least_rows": 1 if mode <= 3 else 3, "relocate": mode >= 4, "sequential": mode == 3} | how
+            if mode >= 4 and "start" not in how:
+                how["start"] = kmeans.random_start(sf, how["k"], how.pop("seed", 0))
             return kmeans.fit(sf, **how)
         if model == "NN":
             return networks.train(sf, how=how.pop("how", "sequential" if mode == 3 else "mean_weights"), **how)
@@ -124,7 +133,9 @@ class Federation:
         if model == "DSVM":
             return kernels.budget_svm(sf, validation=val, search=val is not None, **how)
         if model == "KR":
-            return kernels.regress(sf, **({"steps": 20} if mode < 6 else {}) | how)
+            return kernels.regress(sf, **({"steps": 20, "validation": val} if mode < 6 else {}) | how)
+        if model == "BSVM" and mode == 4:
+            return kernels.sign_svm(sf, validation=val, **how)
         how.setdefault("corner", 1.0 if mode == 5 else 1e-5)
         return kernels.budget_svm(sf, validation=val, **how)
 
@@ -133,20 +144,27 @@ class Federation:
 
     # What sites are worth.
 
-    def prior_value(self, sites: int) -> DataFrame:
-        """(site, value) before training: Shapley shares of the span utility."""
-        return value.shares(value.shapley(value.rxy_span(self.train, self.validation, sites), sites))
+    def prior_value(self, sites: int, metric: Callable[[SiteFrame, SiteFrame, int], DataFrame] = value.rxy_span) -> DataFrame:
+        """(site, value) before training: Shapley shares of a utility (mask, utility) of coalitions, the span by default."""
+        return value.shares(value.shapley(metric(self.train, self.validation, sites), sites))
 
     def online_value(self, steps: int = 3, rate: float = 0.5, decay: float = 0.5) -> DataFrame:
         history, _ = value.online(self.train, self.validation, steps, rate)
         return value.decayed(history, decay)
 
+    def value_of_products(self, ridge: float = 1e-2) -> DataFrame:
+        return value.value_of_products(self.train, self.validation, ridge)
+
     def posterior_value(self) -> list[tuple[int, float]]:
         """(site, gain) in greedy order, by what each adds to a ridge regression on the validation rows."""
         own = value.site_matrices(self.train)
         v = stats.matrix(stats.gram(self.validation, by_site=False), ["1", *self.train.features, "y"])
         return value.greedy_sites(sorted(own), lambda chosen: value.ridge_utility(own, v, chosen))
 
+    def posterior_auc(self, model: str = "LC", mode: int = 5, baseline: float = 0.0, **how) -> list[tuple[int, float, float]]:
+        """(site, area, value) in greedy order, by the area under the curve of models fitted to the chosen sites."""
+        return value.greedy_auc(self.train, self.validation, lambda sf: replace(self, train=sf).fit(model, mode, **how), baseline)
+
 
 def link(frames: dict[int, tuple[DataFrame, str, str]], how: str = "full") -> DataFrame:
     """Vertically split tables met by hashed id: frames are site -> (rows, id column, order column)."""

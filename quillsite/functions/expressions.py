@@ -1,13 +1,17 @@
-"""Column expressions of linear algebra over named feature columns. All run inside code generation."""
+"""Column expressions of linear algebra over named feature columns. All run inside code generation, but for wide distances."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: With more features than this, distances are computed as matrices over Arrow batches rather than as generated sums.
+WIDE = 30
+
 
 def total(columns: list[Column]) -> Column:
     return reduce(add, columns)
@@ -27,6 +31,24 @@ def squared_distance(features, centroid) -> Column:
     return total([(F.col(x) - F.lit(float(c))) * (F.col(x) - F.lit(float(c))) for x, c in zip(features, centroid, strict=True)])
 
 
+def squared_distances(features, centroids) -> Column:
+    """The array of squared distances to each centroid."""
+    if len(features) <= WIDE:
+        return F.array(*(squared_distance(features, c) for c in centroids))
+    c = np.array(centroids, float)
+
+    @F.pandas_udf("array<double>")
+    def of(*columns):
+        import pandas as pd
+
+        x, out = np.stack([v.to_numpy(dtype=float) for v in columns], axis=1), np.zeros((len(columns[0]), len(c)))
+        for i, centre in enumerate(c):
+            out[:, i] = ((x - centre) ** 2).sum(axis=1)
+        return pd.Series(list(out))
+
+    return of(*map(F.col, features))
+
+
 def gaussian(features, centroid, sigma: float, halved: bool = True) -> Column:
     """exp(-|x - c|² / (2σ²)), or without the 2."""
     return F.exp(-squared_distance(features, centroid) / F.lit((2.0 if halved else 1.0) * sigma * sigma))

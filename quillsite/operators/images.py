@@ -19,6 +19,36 @@ def resize(image: Column, rows: int, cols: int, to_rows: int, to_cols: int) -> C
     )
 
 
+def bilinear(image: Column, rows: int, cols: int, to_rows: int, to_cols: int) -> Column:
+    """The image at another size, each pixel a mean of those around it, weighed by a triangle as wide as the scale.
+
+    Weights depend on sizes only and enter as literals; a pixel's weights sum to one.
+    """
+    across, down = (_triangles(a, b) for a, b in ((cols, to_cols), (rows, to_rows)))
+    mean = lambda weights, at: sum((F.lit(w) * at(k) for k, w in weights), F.lit(0.0))
+    thin = F.transform(image, lambda row: F.array(*(mean(ws, lambda k, r=row: F.get(r, F.lit(k))) for ws in across)))
+    pixel = lambda m, ws, j: mean(ws, lambda k: F.get(F.get(m, F.lit(k)), F.lit(j)))
+    return F.get(F.transform(F.array(thin), lambda m: F.array(*(F.array(*(pixel(m, ws, j) for j in range(to_cols))) for ws in down))), F.lit(0))
+
+
+def _triangles(n: int, to: int) -> list[list[tuple[int, float]]]:
+    """For each of `to` places along n pixels: the pixels that it is made of, and their weights."""
+    scale = n / to
+    reach, out = max(scale, 1.0), []
+    for j in range(to):
+        centre = (j + 0.5) * scale
+        low, high = max(int(centre - reach + 0.5), 0), min(int(centre + reach + 0.5), n)
+        ws = [(k, max(1 - abs((k + 0.5 - centre) / reach), 0.0)) for k in range(low, high)]
+        whole = sum(w for _, w in ws)
+        out.append([(k, w / whole) for k, w in ws if w])
+    return out
+
+
+def channels(flat: Column, n: int, rows: int, cols: int) -> Column:
+    """n images of a flat array that holds one channel after the other."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: as_matrix(F.slice(flat, c * rows * cols + 1, rows * cols), rows, cols))
+
+
 def to_vector(image: Column) -> Column:
     """The rows of an image one after the other."""
     return F.flatten(image)

@@ -5,16 +5,23 @@ Kernel columns are made once and kept; a step is one aggregation over them, of g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.expressions import dot, first_greatest, gaussian
-from ..sources.sites import SiteFrame
+from ..functions.expressions import WIDE, dot, first_greatest, gaussian, squared_distances
+from ..sources import sites as tables
+from ..sources.sites import SiteFrame, kept
 from . import linear, metrics, stats
 
+#: Bins of scores by which blends are first told apart.
+BINS = 8192
+
 
 def width(n_features: int, factor: float = 1.0) -> float:
     return n_features**0.5 * factor
@@ -22,8 +29,12 @@ def width(n_features: int, factor: float = 1.0) -> float:
 
 def features(sf: SiteFrame, centroids, sigma: float, halved: bool = True) -> SiteFrame:
     """sf with columns k1, k2, … instead of its features."""
-    made = {f"k{i + 1}": gaussian(sf.features, c, sigma, halved) for i, c in enumerate(centroids)}
-    return sf.having(sf.df.withColumns(made), tuple(made))
+    if len(sf.features) <= WIDE:
+        made = {f"k{i + 1}": gaussian(sf.features, c, sigma, halved) for i, c in enumerate(centroids)}
+        return sf.having(sf.df.withColumns(made), tuple(made))
+    size = F.lit((2.0 if halved else 1.0) * sigma * sigma)
+    made = {f"k{i + 1}": F.exp(-F.get("_d", F.lit(i)) / size) for i in range(len(centroids))}
+    return sf.having(sf.df.withColumn("_d", squared_distances(sf.features, centroids)).withColumns(made).drop("_d"), tuple(made))
 
 
 def own_kernel(centroids: np.ndarray, sigma: float, corner: float = 1e-5, halved: bool = True) -> np.ndarray:
@@ -36,10 +47,11 @@ def own_kernel(centroids: np.ndarray, sigma: float, corner: float = 1e-5, halved
 
 def centroid_scores(sf: SiteFrame, centroids, sigma: float, how: str = "sum") -> DataFrame:
     """(centroid, score): the sum of its kernels, or the number of rows it is the nearest to."""
-    ks = [gaussian(sf.features, c, sigma) for c in centroids]
+    kf = features(sf, centroids, sigma)
+    ks = [F.col(k) for k in kf.features]
     if how == "winners":
-        return sf.df.groupBy(first_greatest(ks).alias("centroid")).agg(F.count("*").cast("double").alias("score"))
-    sums = sf.df.agg(*(F.sum(k).alias(f"s{i}") for i, k in enumerate(ks)))
+        return kf.df.groupBy(first_greatest(ks).alias("centroid")).agg(F.count("*").cast("double").alias("score"))
+    sums = kf.df.agg(*(F.sum(k).alias(f"s{i}") for i, k in enumerate(ks)))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(i).alias("centroid"), F.col(f"s{i}").alias("score")) for i in range(len(ks))))).alias("r")).select("r.*")
 
 
@@ -67,11 +79,55 @@ class Kernel:
         return kf.df.withColumn(name, value).drop(*kf.features)
 
 
-def regress(sf: SiteFrame, centroids: np.ndarray, sigma: float, penalty: float = 1e-2, steps: int = 0, rate: float = 0.1, momentum: float = 0.0) -> Kernel:
-    """Kernel regression: closed form, or so many steps of gradient descent."""
+    def predict_soft(self, sf: SiteFrame, name: str = "scores") -> DataFrame:
+        """A map from each class to its score."""
+        kf, s = self.scores(sf)
+        return kf.df.withColumn(name, F.create_map(*(x for c, v in s.items() for x in (F.lit(c), v)))).drop(*kf.features)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        parts = {"classes": list(self.weights), "weights": np.array(list(self.weights.values())), "centroids": self.centroids, "sigma": self.sigma, "halved": self.halved, "intercept": self.intercept}
+        tables.save_parts(spark, "kernel", parts, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Kernel:
+        _, p = tables.load_parts(spark, path)
+        return cls(dict(zip(p["classes"], p["weights"])), p["centroids"], p["sigma"], p["halved"], p["intercept"])
+
+
+def validation_start(vf: SiteFrame, penalty: float) -> np.ndarray:
+    """Weights of a ridge regression on the kernel columns of the validation rows, all sums divided by their number."""
+    m = stats.matrix(stats.gram(vf, by_site=False), ["1", *vf.features, "y"])
+    m = m / max(m[0, 0], 1.0)
+    return np.linalg.solve(m[:-1, :-1] + penalty * np.eye(len(m) - 1), m[:-1, -1])
+
+
+def regress(
+    sf: SiteFrame, centroids: np.ndarray, sigma: float, penalty: float = 1e-2, steps: int = 0, rate: float = 0.1, momentum: float = 0.0, validation: SiteFrame | None = None, **how,
+) -> Kernel:
+    """Kernel regression: closed form, or so many steps of gradient descent; how: see linear.descend().
+
+    validation: gradient descent starts from a ridge regression on its rows instead of zero.
+    """
     kf = features(sf, centroids, sigma)
-    w = linear.descend(kf, steps=steps, rate=rate, momentum=momentum).weights[""] if steps else linear.ridge_of(stats.gram(kf, by_site=False), kf.features, penalty)
-    return Kernel({"": w}, centroids, sigma)
+    if not steps:
+        return Kernel({"": linear.ridge_of(stats.gram(kf, by_site=False), kf.features, penalty)}, centroids, sigma)
+    if validation is not None:
+        how["start"] = {"": validation_start(features(validation, centroids, sigma), penalty)}
+    return Kernel({"": linear.descend(kf, steps=steps, rate=rate, momentum=momentum, **how).weights[""]}, centroids, sigma)
+
+
+def beyond_margin(s: Column, y: Column) -> Column:
+    """The error of a score, or 0 where the row is on the right side of its margin: y (y - s) not above 0."""
+    return F.when(y * (y - s) > 0, s - y).otherwise(0.0)
+
+
+def sign_svm(sf: SiteFrame, centroids: np.ndarray, sigma: float, penalty: float = 1e-2, validation: SiteFrame | None = None, **how) -> Kernel:
+    """A support vector machine by gradient steps along the errors of rows inside their margin; how: see descend()."""
+    signed = lambda f: SiteFrame(f.df.withColumn("_y", sign_target(f)), f.features, "_y", f.site, f.id)
+    kf = signed(features(sf, centroids, sigma))
+    if validation is not None:
+        how["start"] = {"": validation_start(signed(features(validation, centroids, sigma)), penalty)}
+    return Kernel({"": linear.descend(kf, error=beyond_margin, **how).weights[""]}, centroids, sigma)
 
 
 def sign_target(sf: SiteFrame, c: str = "", label: str = "class") -> Column:
@@ -89,16 +145,15 @@ def svm(sf: SiteFrame, centroids: np.ndarray, sigma: float, cost: float = 1.0, r
     """A support vector machine by gradient steps: gradients of sites are averaged, summed, or taken one by one."""
     kf = features(sf, centroids, sigma, halved=False)
     y, w = sign_target(sf), np.zeros(len(centroids))
-    kf.df.persist()
-    sites = sorted(r[0] for r in kf.df.select(kf.site).distinct().collect()) if combine == "sequential" else [None]
-    for _ in range(steps):
-        for s in sites:
-            part = kf if s is None else kf.only([s])
-            g = hinge_gradients(part, w, cost, y)
-            how = F.avg if combine == "mean" else F.sum
-            row = g.agg(*(how(f"g{i}") for i in range(len(w)))).first()
-            w = w - rate * np.array([v or 0.0 for v in row])
-    kf.df.unpersist()
+    with kept(kf.df):
+        sites = sorted(r[0] for r in kf.df.select(kf.site).distinct().collect()) if combine == "sequential" else [None]
+        for _ in range(steps):
+            for s in sites:
+                part = kf if s is None else kf.only([s])
+                g = hinge_gradients(part, w, cost, y)
+                how = F.avg if combine == "mean" else F.sum
+                row = g.agg(*(how(f"g{i}") for i in range(len(w)))).first()
+                w = w - rate * np.array([v or 0.0 for v in row])
     return Kernel({"": w}, centroids, sigma, halved=False, intercept=False)
 
 
@@ -107,9 +162,10 @@ def irwls_weight(e: Column, cost: float, eps: float) -> Column:
     return F.when(e < 0, 0.0).when(e >= eps, F.lit(2 * cost) / e).otherwise(F.lit(2 * cost / eps))
 
 
-def weighted_gram(kf: SiteFrame, w: np.ndarray, y: Column, cost: float, eps: float, by_site: bool = False) -> DataFrame:
-    """KᵀAK and KᵀAy at weights w as a gram() table."""
+def weighted_gram(kf: SiteFrame, w: np.ndarray, y: Column, cost: float, eps: float, by_site: bool = False, weight: Column | None = None) -> DataFrame:
+    """KᵀAK and KᵀAy at weights w as a gram() table; weight: what a row counts besides."""
     a = irwls_weight(F.lit(1.0) - y * dot(kf.features, w), cost, eps)
+    a = a if weight is None else a * weight
     return stats.gram(SiteFrame(kf.df.withColumn("_y", y), kf.features, "_y", kf.site, kf.id), by_site, weight=a)
 
 
@@ -120,47 +176,86 @@ def solved(products: DataFrame, names: tuple[str, ...], kcc: np.ndarray) -> np.n
 
 def budget_svm(
     sf: SiteFrame, centroids: np.ndarray, sigma: float, cost: float = 1.0, eps: float = 1e-4, steps: int = 10, blend: float = 1.0, stop: float = 1e-3, corner: float = 1e-5, classes: list[str] | None = None, label: str = "class",
-    validation: SiteFrame | None = None, search: bool = False,
+    validation: SiteFrame | None = None, search: bool = False, weight: Column | None = None,
 ) -> Kernel:
     """A support vector machine with given centroids by reweighted least squares over the rows of all sites.
 
     classes: one against the rest. validation: stops when its accuracy no longer rises. search: instead, the blend of old
-    and new weights from -1 to 2 with the best area under the curve on it is taken at each step.
+    and new weights from -1 to 2 with the best area under the curve on it is taken at each step. weight: what a row
+    counts, such as stats.balancing().
     """
     kf, kcc = features(sf, centroids, sigma), own_kernel(centroids, sigma, corner)
     names = classes or [""]
     w = {c: np.zeros(len(centroids) + 1) for c in names}
-    best, kept = -1.0, w
-    kf.df.persist()
-    for _ in range(steps):
-        old = w
-        w = {}
-        for c in names:
-            new = solved(weighted_gram(kf, old[c], sign_target(sf, c, label), cost, eps), kf.features, kcc)
-            lam = best_blend(validation, centroids, sigma, old[c], new) if search and validation is not None else blend
-            w[c] = (1 - lam) * old[c] + lam * new
-        moved = sum(np.sum((w[c] - old[c]) ** 2) for c in names) ** 0.5 / (sum(np.sum(old[c] ** 2) for c in names) ** 0.5 or 1.0)
-        if validation is not None and not search:
-            model = Kernel(w, centroids, sigma)
-            found = model.predict(validation, "_p", hard=not classes).withColumn("_t", F.col(label) if classes else sign_target(validation))
-            acc = metrics.accuracy(found, "_p", "_t").first()[0]
-            if acc <= best:
-                w = kept
+    best, good = -1.0, w
+    with kept(kf.df):
+        for _ in range(steps):
+            old, w = w, {}
+            for c in names:
+                new = solved(weighted_gram(kf, old[c], sign_target(sf, c, label), cost, eps, weight=weight), kf.features, kcc)
+                lam = best_blend(validation, centroids, sigma, old[c], new) if search and validation is not None else blend
+                w[c] = (1 - lam) * old[c] + lam * new
+            moved = sum(np.sum((w[c] - old[c]) ** 2) for c in names) ** 0.5 / (sum(np.sum(old[c] ** 2) for c in names) ** 0.5 or 1.0)
+            if validation is not None and not search:
+                model = Kernel(w, centroids, sigma)
+                found = model.predict(validation, "_p", hard=not classes).withColumn("_t", F.col(label) if classes else sign_target(validation))
+                acc = metrics.accuracy(found, "_p", "_t").first()[0]
+                if acc <= best:
+                    w = good
+                    break
+                best, good = acc, w
+            if moved < stop:
                 break
-            best, kept = acc, w
-        if moved < stop:
-            break
-    kf.df.unpersist()
     return Kernel(w, centroids, sigma)
 
 
+def blend_bounds(rows: DataFrame, steps: range) -> DataFrame:
+    """(k, low, high): bounds of the area under the curve of scores (1 - k / 100) a + k / 100 b on rows (a, b, y).
+
+    Scores are counted in BINS bins on Arrow batches, all blends at once; within a bin the order is left open.
+    """
+    lam = np.array(steps) / 100.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, len(lam) * BINS), np.int64)
+        for batch in batches:
+            a, b, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for at in range(0, len(a), 4096):
+                k = slice(at, at + 4096)
+                s = a[k, None] * (1 - lam) + b[k, None] * lam
+                bin_ = np.clip(((0.5 + np.arctan(s) / np.pi) * BINS).astype(np.int64), 0, BINS - 1) + np.arange(len(lam)) * BINS
+                for v in (0, 1):
+                    counts[v] += np.bincount(bin_[(y[k] > 0.5) == v].ravel(), minlength=counts.shape[1])
+        seen = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen // BINS), pa.array(seen % BINS), pa.array(counts[0, seen]), pa.array(counts[1, seen])], ["i", "bin", "n", "p"])
+
+    sums = rows.mapInArrow(run, "i bigint, bin bigint, n bigint, p bigint").groupBy("i", "bin").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = lambda x: F.sum(F.col("p") * x) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
+    found = sums.withColumn("below", below).groupBy("i").agg(area(F.col("below")).alias("low"), area(F.col("below") + F.col("n")).alias("high"))
+    return found.select((F.col("i") + steps.start).cast("int").alias("k"), "low", "high")
+
+
 def best_blend(validation: SiteFrame, centroids: np.ndarray, sigma: float, old: np.ndarray, new: np.ndarray) -> float:
-    """The share of new weights, -1 to 1.99 in steps of 0.01, with the best area under the curve on the validation rows."""
+    """The share of new weights, -1 to 1.99 in steps of 0.01, with the best area under the curve on the validation rows.
+
+    Of equally good ones the one next to 1 is taken, below 1 if there are two. Only blends whose bounds reach the best
+    lower bound are ranked exactly.
+    """
     kf = features(validation, centroids, sigma)
-    rows = kf.df.select(dot(kf.features, old).alias("a"), dot(kf.features, new).alias("b"), F.col(validation.target).alias("y"), F.explode(F.sequence(F.lit(-100), F.lit(199))).alias("k"))
-    lam = F.col("k") / F.lit(100.0)
-    scored = rows.select("k", "y", ((F.lit(1.0) - lam) * F.col("a") + lam * F.col("b")).alias("s"))
-    return metrics.auc(scored, "s", "y", ["k"]).agg(F.max_by("k", F.struct("auc", -F.abs(F.col("k") - 100)))).first()[0] / 100
+    rows = kf.df.select(dot(kf.features, old).alias("a"), dot(kf.features, new).alias("b"), F.col(validation.target).cast("double").alias("y"))
+    with kept(rows):
+        bounds = blend_bounds(rows, range(-100, 200)).filter("low IS NOT NULL").collect()
+        if not bounds:
+            return 1.0
+        least = max(r["low"] for r in bounds)
+        ks = sorted(r["k"] for r in bounds if r["high"] >= least - 1e-12)
+        if len(ks) > 1:
+            lam = F.col("k") / F.lit(100.0)
+            tried = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).select("k", "y", ((F.lit(1.0) - lam) * F.col("a") + lam * F.col("b")).alias("s"))
+            areas = {r["k"]: r["auc"] for r in metrics.auc(tried, "s", "y", ["k"]).collect()}
+            ks = sorted(ks, key=lambda k: (-areas[k], abs(k - 100), k))
+    return ks[0] / 100
 
 
 def federated_svm(sf: SiteFrame, centroids: np.ndarray, sigma: float, cost: float = 1.0, eps: float = 1e-4, rounds: int = 3, epochs: int = 3, rate: float = 1.0, sequential: bool = False) -> Kernel:
@@ -170,15 +265,14 @@ def federated_svm(sf: SiteFrame, centroids: np.ndarray, sigma: float, cost: floa
     """
     kf, kcc = features(sf, centroids, sigma), own_kernel(centroids, sigma)
     y, w = sign_target(sf), np.zeros(len(centroids) + 1)
-    kf.df.persist()
-    sites = sorted(r[0] for r in kf.df.select(kf.site).distinct().collect())
-    for _ in range(rounds):
-        for group in [[s] for s in sites] if sequential else [sites]:
-            own = {s: w for s in group}
-            for _ in range(epochs):
-                own = _site_solutions(kf.only(group), own, y, cost, eps, kcc)
-            w = w + rate * (np.mean(list(own.values()), axis=0) - w)
-    kf.df.unpersist()
+    with kept(kf.df):
+        sites = sorted(r[0] for r in kf.df.select(kf.site).distinct().collect())
+        for _ in range(rounds):
+            for group in [[s] for s in sites] if sequential else [sites]:
+                own = {s: w for s in group}
+                for _ in range(epochs):
+                    own = _site_solutions(kf.only(group), own, y, cost, eps, kcc)
+                w = w + rate * (np.mean(list(own.values()), axis=0) - w)
     return Kernel({"": w}, centroids, sigma)
 
 

@@ -64,6 +64,20 @@ def one_hot(df: DataFrame, column: str, values: list[str], strict: bool = True)
     return df.select(*keep[:at], *made, *keep[at + 1 :])
 
 
+def one_hot_all(sf: SiteFrame, kinds: dict[str, tuple], strict: bool = True) -> SiteFrame:
+    """Every declared category of a whole schema replaced by its columns; without one, sf as it is.
+
+    kinds: as data_check() takes them, ("num",), ("bin",) or ("cat", values).
+    """
+    df, names = sf.df, list(sf.features)
+    for column, (kind, *values) in kinds.items():
+        if kind == "cat":
+            df = one_hot(df, column, values[0], strict)
+            made = [f"{column}_{v}" for v in sorted(values[0])]
+            names = [y for x in names for y in (made if x == column else [x])]
+    return sf.having(df, tuple(names))
+
+
 def standardise(sf: SiteFrame, keep: tuple[str, ...] = ()) -> SiteFrame:
     """(x - mean) / std of all sites; features in keep (yes-or-no ones) and constant ones stay."""
     known = {r["feature"]: r for r in stats.moments(sf).collect()}
@@ -157,17 +171,38 @@ def pca_matrix(sf: SiteFrame, n: int) -> np.ndarray:
 
 
 def minibatch(sf: SiteFrame, share: float, seed: int = 0) -> SiteFrame:
-    """int(share * rows) rows of each site, those with the least hashes of their ids."""
-    own = Window.partitionBy(sf.site)
-    df = sf.df.withColumn("_n", F.row_number().over(own.orderBy(uniform(F.col(sf.id), seed), sf.id))).withColumn("_of", F.count("*").over(own))
-    return sf.having(df.filter(F.col("_n") <= F.floor(F.col("_of") * F.lit(share))).drop("_n", "_of"))
+    """int(share * rows) rows of each site, those with the least hashes of their ids.
+
+    The last row that is in is sought among the few whose hash is near the share; rows aren't shuffled or sorted.
+    """
+    if share >= 1:
+        return sf
+    u, site, id = uniform(F.col(sf.id), seed), F.col(sf.site), F.col(sf.id)
+    sizes = sf.df.groupBy(site.alias("s")).agg(F.count("*").alias("n")).withColumn("want", F.floor(F.col("n") * F.lit(share)))
+    margin = 6 * F.sqrt(F.lit(share * (1 - share)) / F.col("n")) + 6 / F.col("n")
+    band = F.broadcast(sizes.select("s", "want", (F.lit(share) - margin).alias("low"), (F.lit(share) + margin).alias("high")))
+    near = sf.df.select(site.alias("s"), u.alias("u"), id.alias("id")).join(band, "s")
+    below = near.groupBy("s").agg(F.count_if(F.col("u") < F.col("low")).alias("below"), F.count_if(F.col("u") < F.col("high")).alias("upto"))
+    # Beyond six deviations a hash would have to be bad; then the whole site is sorted.
+    met = near.join(F.broadcast(below), "s").withColumn("fine", (F.col("below") < F.col("want")) & (F.col("upto") >= F.col("want")))
+    met = met.filter(~F.col("fine") | ((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))))
+    rank = F.row_number().over(Window.partitionBy("s").orderBy("u", "id")) + F.when(F.col("fine"), F.col("below")).otherwise(0)
+    last = met.withColumn("k", rank).filter(F.col("k") == F.col("want")).select(F.col("s").alias("_s"), F.struct("u", "id").alias("_last"))
+    kept = sf.df.join(F.broadcast(last), site.eqNullSafe(F.col("_s"))).filter(F.struct(u.alias("u"), id.alias("id")) <= F.col("_last"))
+    return sf.having(kept.drop("_s", "_last"))
 
 
 def cyclic_batch(sf: SiteFrame, size: int, step: int) -> SiteFrame:
-    """The step-th run of size rows of each site in id order, going round."""
-    own = Window.partitionBy(sf.site)
-    df = sf.df.withColumn("_n", F.row_number().over(own.orderBy(sf.id)) - 1).withColumn("_of", F.count("*").over(own))
-    return sf.having(df.filter(F.pmod(F.col("_n") - step * size, F.col("_of")) < size).drop("_n", "_of"))
+    """The step-th run of size rows of each site in id order, going round. Ids are numbers, different within a site."""
+    first = lambda n: F.pmod(F.lit(step * size).cast("bigint"), n)
+    last = lambda n: F.pmod(first(n) + F.least(F.lit(size).cast("bigint"), n) - 1, n)
+    long = sf.df.select(F.col(sf.site).alias("_s"), F.col(sf.id).alias("x"))
+    ends = stats.order_statistics(long, lambda n: F.array(first(n), last(n)), ("_s",)).groupBy("_s", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    n = F.col("n")
+    ends = ends.select("_s", F.element_at("at", first(n)).alias("_a"), F.element_at("at", last(n)).alias("_b"), (first(n) > last(n)).alias("_round"))
+    met, id = sf.df.join(F.broadcast(ends), F.col(sf.site) == F.col("_s")), F.col(sf.id)
+    inside = F.when(F.col("_round"), (id >= F.col("_a")) | (id <= F.col("_b"))).otherwise((id >= F.col("_a")) & (id <= F.col("_b")))
+    return sf.having(met.filter(inside).drop("_s", "_a", "_b", "_round"))
 
 
 def to_long(sf: SiteFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Each is one aggregation with partial sums per task, so only a row for each site
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from ..sources.sites import SiteFrame
 
 #: With more features than this, cross products are summed as matrices in Arrow batches rather than as generated sums.
 WIDE = 30
+#: Bins in which values are counted to find those of given ranks.
+BINS = 4096
 
 
 def terms(sf: SiteFrame, intercept: bool = True, target: bool = True) -> list[tuple[str, Column]]:
@@ -114,27 +116,70 @@ def class_weights(sf: SiteFrame, label: str) -> DataFrame:
     return counts.join(F.broadcast(whole)).select("class", "n", (F.col("rows") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
+def balancing(sf: SiteFrame, label: str) -> Column:
+    """The weight of a row's class, as class_weights() has it."""
+    out = F.lit(None).cast("double")
+    for r in class_weights(sf, label).collect():
+        out = F.when(F.col(label) == r["class"], F.lit(r["weight"])).otherwise(out)
+    return out
+
+
+def long_form(sf: SiteFrame) -> DataFrame:
+    """(site, feature, x) of the values that are known."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in sf.features)))
+    return sf.df.select(F.col(sf.site).alias("site"), each.alias("r")).select("site", "r.*").filter("x IS NOT NULL")
+
+
+def order_statistics(long: DataFrame, ranks: Callable[[Column], Column], keys: tuple[str, ...] = ("site", "feature")) -> DataFrame:
+    """(keys, n, rank, x): the values of long (keys, x) that have the given ranks, from 0, among those of equal keys.
+
+    ranks: the ranks wanted of n values, as an array. Values are counted in BINS equal bins between the least and the
+    greatest one; only those in the bins of the wanted ranks are then sorted. So no task sorts or holds all values of a
+    key, and what is shuffled are counts and different values of those bins.
+    """
+    facts = F.broadcast(long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")))
+    share = F.when(F.col("high") > F.col("low"), (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    binned = long.join(facts, list(keys)).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
+    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    before = lambda *by: F.coalesce(F.sum("c").over(Window.partitionBy(*keys, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
+    wanted = counts.withColumn("before", before("bin")).withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).filter(held("rank"))
+    wanted = wanted.select(*keys, "bin", "n", "rank", (F.col("rank") - F.col("before")).alias("own"))
+    near = binned.join(F.broadcast(wanted.select(*keys, "bin").distinct()), [*keys, "bin"], "left_semi").groupBy(*keys, "bin", "x").agg(F.count("*").alias("c"))
+    placed = near.withColumn("before", before("bin", "x"))
+    return placed.join(F.broadcast(wanted), [*keys, "bin"]).filter(held("own")).select(*keys, "n", "rank", "x")
+
+
+def quantiles(sf: SiteFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(site, feature, share, value): exact quantiles, between two neighbours in proportion."""
+    position = lambda n, q: F.lit(q) * (n - 1)
+    ranks = lambda n: F.array(*(f(position(n, q)).cast("bigint") for q in shares for f in (F.floor, F.ceil)))
+    found = order_statistics(long_form(sf), ranks).groupBy("site", "feature", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    of = lambda q, f: F.element_at("at", f(position(F.col("n"), q)).cast("bigint"))
+    value = lambda q: of(q, F.floor) + (position(F.col("n"), q) - F.floor(position(F.col("n"), q))) * (of(q, F.ceil) - of(q, F.floor))
+    rows = found.select("site", "feature", F.explode(F.array(*(F.struct(F.lit(q).alias("share"), value(q).alias("value")) for q in shares))).alias("r"))
+    return rows.select("site", "feature", "r.*")
+
+
 def site_statistics(sf: SiteFrame, normalised: bool = False) -> DataFrame:
     """(site, stat, pos, value): rxy, meanx, medianx, stdx, skewx, kurx, perc25, perc75 by feature; npatterns; staty.
 
     normalised: each site's vector of a statistic is divided by its length unless that is 0.
     """
     y = F.col(sf.target)
-    by_feature = {
-        "rxy": lambda x: F.sum(x * y),
-        "meanx": F.avg,
-        "medianx": lambda x: F.percentile(x, F.lit(0.5)),
-        "stdx": F.stddev_pop,
-        "skewx": F.skewness,
-        "kurx": F.kurtosis,
-        "perc25": lambda x: F.percentile(x, F.lit(0.25)),
-        "perc75": lambda x: F.percentile(x, F.lit(0.75)),
-    }
+    by_feature = {"rxy": lambda x: F.sum(x * y), "meanx": F.avg, "stdx": F.stddev_pop, "skewx": F.skewness, "kurx": F.kurtosis}
     found = [(s, i, f(F.col(x))) for s, f in by_feature.items() for i, x in enumerate(sf.features)]
     found += [("npatterns", 0, F.count("*").cast("double")), *(("staty", i, f(y)) for i, f in enumerate((F.avg, F.stddev_pop, F.skewness, F.kurtosis)))]
     sums = sf.df.groupBy(sf.site).agg(*(v.alias(f"v{k}") for k, (_, _, v) in enumerate(found)))
     rows = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.lit(i).alias("pos"), F.col(f"v{k}").alias("value")) for k, (s, i, _) in enumerate(found))))
     out = sums.select(F.col(sf.site).alias("site"), rows.alias("r")).select("site", "r.*")
+    names = {0.25: "perc25", 0.5: "medianx", 0.75: "perc75"}
+    stat = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("share"))
+    pos = (F.array_position(F.array(*map(F.lit, sf.features)), F.col("feature")) - 1).cast("int")
+    out = out.unionByName(quantiles(sf, tuple(names)).select("site", stat.alias("stat"), pos.alias("pos"), "value"))
+    # A site where a feature isn't known at all has no quantiles of it.
+    every = sums.select(F.col(sf.site).alias("site")).join(F.broadcast(sums.sparkSession.createDataFrame([(s, i) for s in names.values() for i in range(len(sf.features))], "stat string, pos int")))
+    out = out.unionByName(every.join(F.broadcast(out.select("site", "stat", "pos")), ["site", "stat", "pos"], "left_anti").withColumn("value", F.lit(None).cast("double")))
     if not normalised:
         return out
     norm = F.sqrt(F.sum(F.col("value") ** 2).over(Window.partitionBy("site", "stat")))

@@ -10,19 +10,22 @@ from . import stats
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
-    """(site, doc_id, token, n): the bag of words of each document in long form."""
-    return tokens.groupBy("site", "doc_id", "token").agg(F.count("*").alias("n"))
+    """(site, doc_id, token, n): the bag of words of each document in long form. A table that is one already stays as it is.
+
+    The functions below take either; given the same bag, they share its one aggregation.
+    """
+    return tokens if "n" in tokens.columns else tokens.groupBy("site", "doc_id", "token").agg(F.count("*").alias("n"))
 
 
 def vocabulary(tokens: DataFrame, more_than: int = 10, less_than: int = 5000) -> DataFrame:
     """(token, tf) of the tokens with a total strictly between the bounds."""
-    return tokens.groupBy("token").agg(F.count("*").alias("tf")).filter((F.col("tf") > more_than) & (F.col("tf") < less_than))
+    return term_counts(tokens).groupBy("token").agg(F.sum("n").alias("tf")).filter((F.col("tf") > more_than) & (F.col("tf") < less_than))
 
 
 def document_frequency(tokens: DataFrame, vocab: DataFrame, more_than: int = 10) -> DataFrame:
-    """(token, df) of vocabulary tokens that are in more documents than the bound."""
-    met = tokens.select("doc_id", "token").distinct().join(vocab.select("token"), "token", "left_semi")
-    return met.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > more_than)
+    """(token, df) of vocabulary tokens that are in more documents than the bound. A document has one site."""
+    counts = term_counts(tokens).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > more_than)
+    return counts.join(vocab.select("token"), "token", "left_semi")
 
 
 def tf_idf(tokens: DataFrame, df: DataFrame) -> DataFrame:

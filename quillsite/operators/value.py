@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cross_entropy, sigmoid
+from ..functions.expressions import sigmoid
 from ..sources.sites import SiteFrame
-from . import linear, stats
+from . import linear, metrics, stats
 
 #: All coalitions are listed up to this many sites.
 MOST_SITES = 12
@@ -129,14 +130,85 @@ def ridge_utility(own: dict[int, np.ndarray], validation: np.ndarray, sites: lis
 
 
 def coalition_errors(validation: SiteFrame, weights: dict[int, np.ndarray]) -> DataFrame:
-    """(mask, error): the mean cross entropy of the logistic weights of each coalition on the validation rows, in one job."""
-    spark, n = validation.df.sparkSession, len(validation.features) + 1
-    table = spark.createDataFrame([(int(m), *map(float, w)) for m, w in weights.items()], "mask bigint, " + ", ".join(f"_w{j} double" for j in range(n)))
-    score = F.col("_w0")
-    for j, x in enumerate(validation.features):
-        score = score + F.col(x) * F.col(f"_w{j + 1}")
-    met = validation.df.join(F.broadcast(table))  # at most 2 ** MOST_SITES rows of weights
-    return met.groupBy("mask").agg(F.avg(cross_entropy(sigmoid(score), F.col(validation.target))).alias("error"))
+    """(mask, error): the mean cross entropy of the logistic weights of each coalition on the validation rows, in one job.
+
+    All coalitions, 2 ** MOST_SITES at most, are scored at once on Arrow batches; each task gives one sum for each.
+    """
+    masks = np.array(sorted(weights), np.int64)
+    w = np.array([weights[int(m)] for m in masks], float).T
+    rows = validation.df.select(*(F.col(x).cast("double") for x in validation.features), F.col(validation.target).cast("double").alias("_y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(len(masks)), 0
+        for batch in batches:
+            x = np.stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns)], axis=1)
+            for at in range(0, len(x), 256):
+                part, y = x[at : at + 256, :-1], x[at : at + 256, -1:]
+                o = 1 / (1 + np.exp(-part @ w)) * (1 - 2e-6) + 1e-6
+                sums += (-y * np.log(o) - (1 - y) * np.log(1 - o)).sum(axis=0)
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(sums), pa.array(np.full(len(masks), n))], ["mask", "s", "n"])
+
+    return rows.mapInArrow(run, "mask bigint, s double, n bigint").groupBy("mask").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("error"))
+
+
+def coalition_value(spark: SparkSession, utility: dict[int, float], order: list[int]) -> DataFrame:
+    """(site, value) of the utilities of all coalitions of the sites in order, the empty one (0) included."""
+    if len(order) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} sites have too many coalitions")
+    known = spark.createDataFrame([(int(m), float(u)) for m, u in utility.items() if m], "mask bigint, utility double")
+    found = shares(shapley(known, len(order), float(utility.get(0, 0.0))), shift=True)
+    return found.select(F.element_at(F.array(*map(F.lit, order)), (F.col("site") + 1).cast("int")).alias("site"), "value")
+
+
+def members(order: list[int]) -> dict[int, list[int]]:
+    """The sites of each coalition by its mask, a bit for each place in order."""
+    if len(order) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} sites have too many coalitions")
+    return {m: [s for i, s in enumerate(order) if m >> i & 1] for m in range(1 << len(order))}
+
+
+def value_of_models(validation: SiteFrame, models: dict[int, np.ndarray], start: np.ndarray) -> DataFrame:
+    """(site, value): what the logistic weights of each site are worth; a coalition has its members' mean weights.
+
+    The empty coalition has the start weights; utilities are what is lost of the validation error by then.
+    """
+    order = sorted(models)
+    weights = {m: np.mean([models[s] for s in g], axis=0) if g else start for m, g in members(order).items()}
+    errors = {r["mask"]: r["error"] for r in coalition_errors(validation, weights).collect()}
+    return coalition_value(validation.df.sparkSession, {m: errors[0] - e for m, e in errors.items()}, order)
+
+
+def value_of_products(train: SiteFrame, validation: SiteFrame, ridge: float = 1e-2) -> DataFrame:
+    """(site, value): what the cross products of each site are worth to a ridge regression; two jobs in all."""
+    own = site_matrices(train)
+    v, order = stats.matrix(stats.gram(validation, by_site=False), ["1", *train.features, "y"]), sorted(own)
+    utility = {m: ridge_utility(own, v, g, ridge) if g else 0.0 for m, g in members(order).items()}
+    return coalition_value(train.df.sparkSession, utility, order)
+
+
+def greedy_auc(train: SiteFrame, validation: SiteFrame, fit: Callable[[SiteFrame], object], baseline: float = 0.0) -> list[tuple[int, float, float]]:
+    """(site, area, value) in the order in which sites give the model with the greatest area under the curve.
+
+    fit: trains on the rows of the chosen sites and gives a model that can predict(). A site's value is what the area
+    rose by when it was added, as a share of all rises; the first one's rise is counted from the baseline.
+    """
+    left = sorted(r[0] for r in train.df.select(train.site).distinct().collect())
+    chosen: list[int] = []
+    areas: list[float] = []
+    while left:
+        tried = []
+        for s in left:
+            model = fit(train.only([*chosen, s]))
+            scored = model.predict(validation.df if isinstance(model, linear.Linear) else validation, "_score")
+            tried.append((metrics.auc(scored, "_score", validation.target).first()[0], s))
+        area, s = max(tried, key=lambda x: (x[0], -x[1]))
+        chosen.append(s)
+        areas.append(area)
+        left.remove(s)
+    rises = [max(a - b, 0.0) for a, b in zip(areas, [baseline, *areas])]
+    whole = sum(rises) or 1.0
+    return [(s, a, r / whole) for s, a, r in zip(chosen, areas, rises)]
 
 
 def online(train: SiteFrame, validation: SiteFrame, steps: int = 3, rate: float = 0.5) -> tuple[DataFrame, linear.Linear]:
@@ -150,14 +222,10 @@ def online(train: SiteFrame, validation: SiteFrame, steps: int = 3, rate: float
     for step in range(steps):
         rows = linear.gradients(train, {"": w}, sigmoid).collect()
         own = {r["site"]: np.array([r[f"g_0_{j}"] for j in range(len(w))]) / r["n"] for r in rows}
-        order = sorted(own)
-        members = {m: [s for i, s in enumerate(order) if m >> i & 1] for m in range(1 << len(order))}
-        if len(order) > MOST_SITES:
-            raise ValueError(f"more than {MOST_SITES} sites have too many coalitions")
-        weights = {m: w - rate * np.mean([own[s] for s in g], axis=0) if g else w for m, g in members.items()}
+        groups = members(sorted(own))
+        weights = {m: w - rate * np.mean([own[s] for s in g], axis=0) if g else w for m, g in groups.items()}
         errors = {r["mask"]: r["error"] for r in coalition_errors(validation, weights).collect()}
-        gains = spark.createDataFrame([(m, errors[0] - e) for m, e in errors.items() if m], "mask bigint, utility double")
-        found = shares(shapley(gains, len(order)), shift=True).collect()
-        part = spark.createDataFrame([(step, int(order[r["site"]]), float(r["value"])) for r in found], "step int, site int, value double")
-        history, w = part if history is None else history.unionByName(part), weights[len(members) - 1]
+        found = coalition_value(spark, {m: errors[0] - e for m, e in errors.items()}, sorted(own)).collect()
+        part = spark.createDataFrame([(step, int(r["site"]), float(r["value"])) for r in found], "step int, site int, value double")
+        history, w = part if history is None else history.unionByName(part), weights[len(groups) - 1]
     return history, linear.Linear({"": w}, train.features, "sigmoid")

@@ -27,12 +27,12 @@ DF = "d AS (SELECT token, count(DISTINCT doc_id) AS df FROM t WHERE token IN (SE
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-def em(dims: int = 4) -> str:
+def em(dims: int = 64) -> str:
     cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i + 1}" for i in range(dims))
     return f"f AS (SELECT CAST(vec_id % 4 AS INT) AS site, vec_id AS row_id, {cols}, label, CASE WHEN label < 5 THEN 1e0 ELSE 0e0 END AS y FROM embeddings)"
 
 
-def es(dims: int = 4) -> tuple[str, ...]:
+def es(dims: int = 64) -> tuple[str, ...]:
     return tuple(f"e{i + 1}" for i in range(dims))
 
 
@@ -83,9 +83,18 @@ def gram_global(spark, d):
     return rounded(stats.gram(sites.lineitem(spark, d), by_site=False), "value", k=4)
 
 
-@query(f"WITH {em(40)} {_gram_sql(es(40), True)}")
+def _long_gram_sql(by_site=True, k=4):
+    """As _gram_sql, by a join of the values of a row in long form."""
+    names, key = ["1", *es(), "y"], "site, " if by_site else ""
+    values = ", ".join(["1e0", *es(), "y"])
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""WITH {em()}, l AS (SELECT site, row_id, unnest(range(1, {len(names) + 1})) AS i, unnest([{values}]) AS v FROM f), g AS (SELECT {'a.site, ' if by_site else ''}a.i AS i, b.i AS j, sum(a.v * b.v) AS value
+ FROM l AS a JOIN l AS b ON a.row_id = b.row_id AND a.i <= b.i GROUP BY {'a.site, ' if by_site else ''}a.i, b.i) SELECT {key}[{listed}][i] AS a, [{listed}][j] AS b, {r('value', k)} AS value FROM g"""
+
+
+@query(_long_gram_sql())
 def gram_wide(spark, d):
-    return rounded(stats.gram(sites.embeddings(spark, d, 40)), "value", k=4)
+    return rounded(stats.gram(sites.embeddings(spark, d)), "value", k=4)
 
 
 @query(f"WITH {LI} " + union(f"SELECT site, '{x}' AS feature, {r(f'sum({x} * y)', 4)} AS value FROM f GROUP BY site" for x in XS))
@@ -257,15 +266,15 @@ def feature_select(spark, d):
 
 def _proj_sql(m, k=6):
     cols = [f"{r(' + '.join(f'e{i + 1} * {float(v)!r}e0' if 'e' not in repr(float(v)) else f'e{i + 1} * {float(v)!r}' for i, v in enumerate(c)), k)} AS p{j + 1}" for j, c in enumerate(m.T)]
-    return f"WITH {em(len(m))} SELECT row_id, {', '.join(cols)} FROM f"
+    return f"WITH {em()} SELECT row_id, {', '.join(cols)} FROM f"
 
 
 def _projected(spark, d, m):
-    sf = preprocess.project(sites.embeddings(spark, d, len(m)), m)
+    sf = preprocess.project(sites.embeddings(spark, d), m)
     return rounded(sf.df, *sf.features).select("row_id", *sf.features)
 
 
-_FULL, _SPARSE, _BUCKET = preprocess.random_matrix(8, 3, 1), preprocess.random_matrix(8, 3, 2, sparse=True), preprocess.bucket_matrix(8, 3)
+_FULL, _SPARSE, _BUCKET = preprocess.random_matrix(64, 3, 1), preprocess.random_matrix(64, 3, 2, sparse=True), preprocess.bucket_matrix(64, 3)
 
 
 @query(_proj_sql(_FULL))
@@ -283,21 +292,21 @@ def proj_bucket(spark, d):
     return _projected(spark, d, _BUCKET)
 
 
-@query(f"WITH {em(8)}, l AS ({union(f"SELECT site, row_id, {i} AS pos, {x} AS value FROM f WHERE abs({x}) > 0.2e0" for i, x in enumerate(es(8)))}), m AS ({union(f"SELECT {a} AS pos, {b} AS o" for a, b in zip(*np.nonzero(_BUCKET)))}) SELECT site, row_id, o AS out, {r('sum(value)')} AS value FROM l JOIN m ON m.pos = l.pos GROUP BY site, row_id, o")
+@query(f"WITH {em()}, l AS ({union(f"SELECT site, row_id, {i} AS pos, {x} AS value FROM f WHERE abs({x}) > 0.2e0" for i, x in enumerate(es()))}), m AS ({union(f"SELECT {a} AS pos, {b} AS o" for a, b in zip(*np.nonzero(_BUCKET)))}) SELECT site, row_id, o AS out, {r('sum(value)')} AS value FROM l JOIN m ON m.pos = l.pos GROUP BY site, row_id, o")
 def proj_sparse_long(spark, d):
     """Sparse rows (values beyond 0.2) added up into buckets."""
-    long = preprocess.to_long(sites.embeddings(spark, d, 8)).filter("abs(value) > 0.2")
+    long = preprocess.to_long(sites.embeddings(spark, d)).filter("abs(value) > 0.2")
     return rounded(preprocess.project_long(long, _BUCKET), "value")
 
 
-@query(f"WITH {em(8)} {_gram_sql(es(8), False)}")
+@query(_long_gram_sql(False))
 def pca_gram(spark, d):
-    return rounded(stats.gram(sites.embeddings(spark, d, 8), by_site=False), "value", k=4)
+    return rounded(stats.gram(sites.embeddings(spark, d), by_site=False), "value", k=4)
 
 
 @query()
 def pca_transform(spark, d):
-    sf = sites.embeddings(spark, d, 8)
+    sf = sites.embeddings(spark, d)
     out = preprocess.project(sf, preprocess.pca_matrix(sf, 3))
     return rounded(out.df, *out.features).select("row_id", *out.features)
 
@@ -327,6 +336,21 @@ def image_resize(spark, d):
     return sites.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), small.alias("v")).select("row_id", *(F.col("v")[k].alias(f"p{k}") for k in range(16)))
 
 
+def _halved(j):
+    """Half as many pixels: weights 1/8, 3/8, 3/8, 1/8 of the four around each; at the ends of the three there are."""
+    around = [(k, w) for k, w in zip(range(2 * j - 1, 2 * j + 3), (1, 3, 3, 1)) if 0 <= k < 8]
+    return [(k, w / sum(x for _, x in around)) for k, w in around]
+
+
+@query("SELECT vec_id AS row_id, " + ", ".join(r(" + ".join(f"CAST(embedding[{8 * a + b + 1}] AS DOUBLE) * {u * v!r}" for a, u in _halved(i) for b, v in _halved(j))) + f" AS p{i * 4 + j}" for i in range(4) for j in range(4)) + " FROM embeddings")
+def image_bilinear(spark, d):
+    """As image_resize, each pixel a mean of those around it."""
+    flat = F.transform("embedding", lambda x: x.cast("double"))
+    small = images.to_vector(images.bilinear(images.as_matrix(flat, 8, 8), 8, 8, 4, 4))
+    out = sites.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), small.alias("v")).select("row_id", *(F.col("v")[k].alias(f"p{k}") for k in range(16)))
+    return rounded(out, *(f"p{k}" for k in range(16)))
+
+
 # Text.
 
 
@@ -343,18 +367,18 @@ def doc_frequency(spark, d):
 
 @query(f"WITH {TOK}, {VOCAB}, {DF} SELECT doc_id, t.token, {r('count(*) / any_value(df)')} AS value FROM t JOIN d ON d.token = t.token GROUP BY doc_id, t.token")
 def tfidf(spark, d):
-    t = sites.tokens(spark, d)
-    return rounded(text.tf_idf(t, text.document_frequency(t, text.vocabulary(t))), "value")
+    bag = text.term_counts(sites.tokens(spark, d))
+    return rounded(text.tf_idf(bag, text.document_frequency(bag, text.vocabulary(bag))), "value")
 
 
-@query(f"WITH {em(16)} " + union(f"SELECT '{x}' AS feature, CAST(count_if({x} > 0) AS BIGINT) AS n FROM f" for x in es(16)))
+@query(f"WITH {em()} " + union(f"SELECT '{x}' AS feature, CAST(count_if({x} > 0) AS BIGINT) AS n FROM f" for x in es()))
 def feature_count(spark, d):
-    return stats.feature_counts(sites.embeddings(spark, d, 16))
+    return stats.feature_counts(sites.embeddings(spark, d))
 
 
-@query(f"WITH {em(16)}, c AS (" + union(f"SELECT {i} AS pos, '{x}' AS feature, count_if({x} > 0) / count(*) AS q FROM f" for i, x in enumerate(es(16))) + f"), z AS (SELECT pos, feature, CASE WHEN q > 0.55e0 THEN 0e0 ELSE q END AS q FROM c) SELECT pos, feature, {r('q')} AS freq FROM z ORDER BY q DESC, pos LIMIT 5")
+@query(f"WITH {em()}, c AS (" + union(f"SELECT {i} AS pos, '{x}' AS feature, count_if({x} > 0) / count(*) AS q FROM f" for i, x in enumerate(es())) + f"), z AS (SELECT pos, feature, CASE WHEN q > 0.55e0 THEN 0e0 ELSE q END AS q FROM c) SELECT pos, feature, {r('q')} AS freq FROM z ORDER BY q DESC, pos LIMIT 5")
 def top_features(spark, d):
-    return rounded(text.top_features(sites.embeddings(spark, d, 16), 5, 0.55), "freq")
+    return rounded(text.top_features(sites.embeddings(spark, d), 5, 0.55), "freq")
 
 
 # Linkage.
@@ -408,6 +432,10 @@ def digests(spark, d):
 # K-means and kernels. The centroids are the vectors 0 to 3.
 
 
+#: Vectors have unit length, so a width of one tells them apart.
+WIDTH = kernels.width(64, 0.125)
+
+
 def _centroids(sf, k: int = 4) -> np.ndarray:
     rows = sf.df.filter((F.col("row_id") >= 0) & (F.col("row_id") < k)).orderBy("row_id").select(*sf.features).collect()
     return np.array([list(x) for x in rows])
@@ -465,40 +493,100 @@ def kmeans_2iter(spark, d):
     return rounded(kmeans.step(sf, c).drop("distance"), *ES)
 
 
-@query()
+def _kmeans_fit_sql(steps=8, k=4):
+    """Every step in turn; the first one whose mean distance hardly differs from the one before is the last."""
+    starts = f"""l AS ({union(f"SELECT site, '{x}' AS feature, {x} AS value FROM f" for x in ES)}), n AS (SELECT *, row_number() OVER (PARTITION BY site, feature ORDER BY value) AS rn, count(*) OVER (PARTITION BY site, feature) AS m FROM l),
+ sh AS (SELECT site, least((rn - 1) // (m // {k}), {k - 1}) AS cid, feature, sum(value) / any_value(m // {k}) AS value FROM n GROUP BY site, least((rn - 1) // (m // {k}), {k - 1}), feature),
+ sm AS (SELECT cid, feature, avg(value) AS value FROM sh GROUP BY cid, feature), c0 AS MATERIALIZED (SELECT cid, {', '.join(f"max(CASE WHEN feature = '{x}' THEN value END) AS {x}" for x in ES)} FROM sm GROUP BY cid)"""
+    parts = []
+    for t in range(1, steps + 1):
+        near = f"SELECT f.*, c.cid, {' + '.join(f'(f.{x} - c.{x}) * (f.{x} - c.{x})' for x in ES)} AS dist FROM f, c{t - 1} AS c"
+        parts.append(f"a{t} AS MATERIALIZED (SELECT * FROM ({near}) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY dist, cid) = 1)")
+        parts.append(f"g{t} AS (SELECT cid, {', '.join(f'avg({x}) AS {x}' for x in ES)} FROM a{t} GROUP BY cid)")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT o.cid, {', '.join(f'coalesce(g.{x}, o.{x}) AS {x}' for x in ES)} FROM c{t - 1} AS o LEFT JOIN g{t} AS g ON g.cid = o.cid)")
+        parts.append(f"d{t} AS MATERIALIZED (SELECT avg(sqrt(dist)) AS d FROM a{t})")
+    stop = " ".join(f"WHEN abs((SELECT d FROM d{t - 1}) - (SELECT d FROM d{t})) < 1e-4 * (SELECT d FROM d{t - 1}) THEN {t}" for t in range(2, steps + 1))
+    last = union(f"SELECT CAST(cid AS INT) AS cluster, {', '.join(f'{r(x)} AS {x}' for x in ES)} FROM c{t} WHERE (SELECT t FROM z) = {t}" for t in range(1, steps + 1))
+    return f"WITH {em()}, {starts}, {', '.join(parts)}, z AS MATERIALIZED (SELECT CASE {stop} ELSE {steps} END AS t) {last}"
+
+
+_FAR = f"c AS (SELECT row_id, {', '.join(ES)} FROM f WHERE row_id < 4 UNION ALL SELECT 4, {', '.join('1e3' for _ in ES)}), p AS (SELECT f.*, c.row_id AS cid, {_D} AS dist FROM f, c), a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY p.row_id ORDER BY dist, cid) = 1)"
+
+
+@query(f"""WITH {em()}, {_FAR}, s AS (SELECT cid, count(*) AS n, {', '.join(f'avg({x}) AS {x}' for x in ES)} FROM a GROUP BY cid)
+ SELECT CAST(c.row_id AS INT) AS cluster, {', '.join(f'{r(f'coalesce(s.{x}, 0)')} AS {x}' for x in ES)} FROM c LEFT JOIN s ON s.cid = c.row_id""")
+def kmeans_step_sequential(spark, d):
+    """Sites one by one; the fifth centroid is far from all rows and goes to zero."""
+    sf = sites.embeddings(spark, d)
+    start = np.vstack([_centroids(sf), np.full(len(ES), 1e3)])
+    c, _ = kmeans.fit(sf, 5, iterations=1, start=start, sequential=True)
+    return table_of(spark, [(i, *(round(float(v), 6) + 0.0 for v in x)) for i, x in enumerate(c)], "cluster int, " + ", ".join(f"{x} double" for x in ES))
+
+
+@query(_kmeans_fit_sql())
 def kmeans_fit(spark, d):
     sf = sites.embeddings(spark, d)
     c, seen = kmeans.fit(sf, 4, iterations=8, relocate=False)
-    return table_of(spark, [(i, *map(float, np.round(x, 6))) for i, x in enumerate(c)], "cluster int, " + ", ".join(f"{x} double" for x in ES))
+    return table_of(spark, [(i, *(round(float(v), 6) + 0.0 for v in x)) for i, x in enumerate(c)], "cluster int, " + ", ".join(f"{x} double" for x in ES))
 
 
-@query(f"WITH {em()}, {CD} SELECT row_id, {', '.join(f'{r(f'max(CASE WHEN cid = {i} THEN exp(-dist / 8e0) END)')} AS k{i + 1}' for i in range(4))} FROM p GROUP BY row_id")
+@query(f"WITH {em()}, {CD} SELECT row_id, {', '.join(f'{r(f'max(CASE WHEN cid = {i} THEN exp(-dist / 2e0) END)')} AS k{i + 1}' for i in range(4))} FROM p GROUP BY row_id")
 def rbf_features(spark, d):
     sf = sites.embeddings(spark, d)
-    kf = kernels.features(sf, _centroids(sf), kernels.width(4))
+    kf = kernels.features(sf, _centroids(sf), WIDTH)
     return rounded(kf.df, *kf.features).select("row_id", *kf.features)
 
 
-KF = "k AS (SELECT any_value(site) AS site, row_id, any_value(y) AS y, any_value(label) AS label, " + ", ".join(f"max(CASE WHEN cid = {i} THEN exp(-dist / 8e0) END) AS k{i + 1}" for i in range(4)) + " FROM p GROUP BY row_id)"
+KF = "k AS (SELECT any_value(site) AS site, row_id, any_value(y) AS y, any_value(label) AS label, " + ", ".join(f"max(CASE WHEN cid = {i} THEN exp(-dist / 2e0) END) AS k{i + 1}" for i in range(4)) + " FROM p GROUP BY row_id)"
 KS = ("k1", "k2", "k3", "k4")
 
 
 @query(f"WITH {em()}, {CD}, {KF} {_gram_sql(KS, False, frm='k')}")
 def kernel_gram(spark, d):
     sf = sites.embeddings(spark, d)
-    return rounded(stats.gram(kernels.features(sf, _centroids(sf), kernels.width(4)), by_site=False), "value", k=4)
+    return rounded(stats.gram(kernels.features(sf, _centroids(sf), WIDTH), by_site=False), "value", k=4)
 
 
-@query(f"WITH {em()}, {CD} SELECT CAST(cid AS INT) AS centroid, {r('sum(exp(-dist / 8e0))', 5)} AS score FROM p GROUP BY cid")
+@query(f"WITH {em()}, {CD} SELECT CAST(cid AS INT) AS centroid, {r('sum(exp(-dist / 2e0))', 5)} AS score FROM p GROUP BY cid")
 def centroid_scores(spark, d):
     sf = sites.embeddings(spark, d)
-    return rounded(kernels.centroid_scores(sf, _centroids(sf), kernels.width(4)), "score", k=5)
+    return rounded(kernels.centroid_scores(sf, _centroids(sf), WIDTH), "score", k=5)
 
 
 @query(f"WITH {em()}, {CD} SELECT CAST(cid AS INT) AS centroid, CAST(count(*) AS DOUBLE) AS score FROM a GROUP BY cid")
 def centroid_winners(spark, d):
     sf = sites.embeddings(spark, d)
-    return kernels.centroid_scores(sf, _centroids(sf), kernels.width(4), "winners")
+    return kernels.centroid_scores(sf, _centroids(sf), WIDTH, "winners")
+
+
+# Ridge systems solved in SQL by elimination, which their positive diagonals allow without pivots.
+
+
+def _normal(terms, y, extra=lambda i, j: "0e0", weight="1e0"):
+    """Columns of the normal equations of terms and y, with an addition to each entry; column n is the right side."""
+    n = len(terms)
+    cell = lambda i, j: f"sum({weight} * {terms[i]} * {terms[j]}) + {extra(i, j)} AS m{i}_{j}"
+    return ", ".join([cell(i, j) for i in range(n) for j in range(n)] + [f"sum({weight} * {terms[i]} * {y}) AS m{i}_{n}" for i in range(n)])
+
+
+def _ridge(penalty):
+    return lambda i, j: repr(penalty) if i == j else "0e0"
+
+
+def _solution(src, n, out, keys=""):
+    """CTEs that end in out: keys, w0, w1, … of a CTE that has the columns of _normal()."""
+    parts, cur = [], src
+    for k in range(n):
+        name = out if k == n - 1 else f"{out}_{k}"
+        entry = lambda i, j, k=k: f"m{k}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k}"
+        cols = [f"{entry(i, j)} AS {f'w{i}' if k == n - 1 else f'm{i}_{j}'}" for i in range(n) for j in range(k + 1, n + 1)]
+        parts.append(f"{name} AS MATERIALIZED (SELECT {keys + ', ' if keys else ''}{', '.join(cols)} FROM {cur})")
+        cur = name
+    return ", ".join(parts)
+
+
+def _dot(terms, w="w"):
+    return " + ".join(f"{w}.w{i} * {t}" for i, t in enumerate(terms))
 
 
 # Linear models: so many steps from zero weights.
@@ -562,11 +650,44 @@ def rr_predict(spark, d):
     return rounded(linear.ridge(sf).predict(sf.df), "score", k=5).select("row_id", "score")
 
 
-@query()
+@query(f"WITH {LI}, m AS (SELECT {_normal(['1e0', *XS], 'y', _ridge(0.01))} FROM f), {_solution('m', 5, 'w')} " + union(f"SELECT '' AS class, {j} AS pos, {r(f'w{j}')} AS w FROM w" for j in range(5)))
 def rr_fit(spark, d):
     return _weights(spark, linear.ridge(sites.lineitem(spark, d)))
 
 
+_BATCH = LI.replace("f AS (", "f0 AS (", 1) + ", b AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ((row_id * 1103515245 + 12345) % 2147483648), row_id) AS bn, count(*) OVER (PARTITION BY site) AS bc FROM f0), f AS (SELECT * FROM b WHERE bn <= floor(bc * 0.25e0))"
+
+
+@query(_descent_sql("linear", 1, frm=_BATCH) + _weights_sql(5, 1))
+def lr_minibatch_step(spark, d):
+    """A step on a quarter of each site's rows."""
+    return _weights(spark, linear.descend(sites.lineitem(spark, d), steps=1, minibatch=0.25))
+
+
+@query(
+    f"WITH {LI}, q AS (SELECT class, (SELECT count(*) FROM f) / ((SELECT count(DISTINCT class) FROM f) * count(*)) AS q FROM f GROUP BY class), s AS (SELECT site, "
+    + ", ".join(f"sum(q * (0.5e0 - y) * {x}) / sum(q) AS g{j}" for j, x in enumerate(("1e0", *XS)))
+    + " FROM f JOIN q ON q.class = f.class GROUP BY site) "
+    + union(f"SELECT '' AS class, {j} AS pos, {r(f'-0.5e0 * avg(g{j})')} AS w FROM s" for j in range(5))
+)
+def lc_balanced_step(spark, d):
+    """A step in which the classes weigh alike."""
+    sf = sites.lineitem(spark, d)
+    return _weights(spark, linear.descend(sf, "sigmoid", steps=1, rate=0.5, weight=stats.balancing(sf, "class")))
+
+
+_TWO = f"{LI}, m AS (SELECT {_normal(['1e0', *XS], 'y', _ridge(0.01))} FROM f WHERE site < 2), {_solution('m', 5, 'w')}"
+
+
+@query(f"WITH {_TWO} SELECT row_id, {r('0.3e0 * (' + _dot(['1e0', *XS]) + ')', 5)} AS score FROM f, w")
+def whatif_products(spark, d):
+    """Zero weights, blended with three tenths of a ridge regression of the first two sites."""
+    sf = sites.lineitem(spark, d)
+    own = value.site_matrices(sf)
+    model = linear.Linear({"": np.zeros(5)}, XS)
+    return rounded(model.predict_with_products(sf.df, [own[0], own[1]], blend=0.3), "score", k=5).select("row_id", "score")
+
+
 @query(_descent_sql("sigmoid", 1, 0.5, combine="rows") + _weights_sql(5, 1))
 def lc_step_global(spark, d):
     return _weights(spark, linear.descend(sites.lineitem(spark, d), "sigmoid", steps=1, rate=0.5, combine="rows"))
@@ -597,7 +718,7 @@ def lc_linesearch(spark, d):
     """Errors of all rates along the first step's gradient."""
     sf = sites.embeddings(spark, d)
     w = linear.descend(sf, "sigmoid", steps=1, rate=1.0, combine="rows").weights[""]
-    return rounded(linear.line_search_errors(sf, np.zeros(5), -w), "error", k=8)
+    return rounded(linear.line_search_errors(sf, np.zeros(len(w)), -w), "error", k=8)
 
 
 @query(_descent_sql("sigmoid", 1, 0.5, classes=["A", "N", "R"]) + _weights_sql(5, 1))
@@ -605,7 +726,11 @@ def mlc_step(spark, d):
     return _weights(spark, linear.descend(sites.lineitem(spark, d), "sigmoid", classes=["A", "N", "R"], steps=1, rate=0.5))
 
 
-@query()
+@query(
+    _descent_sql("sigmoid", 3, 0.5, classes=["A", "N", "R"])
+    + ", s AS (SELECT f.class, " + ", ".join(f"(SELECT 1e0 / (1e0 + exp(-(w0 + w1 * x1 + w2 * x2 + w3 * x3 + w4 * x4))) FROM w3 WHERE cls = '{c}') AS s{c}" for c in "ANR")
+    + " FROM f) SELECT class, CASE WHEN sA >= sN AND sA >= sR THEN 'A' WHEN sN >= sR THEN 'N' ELSE 'R' END AS predicted, count(*) AS n FROM s GROUP BY ALL"
+)
 def mlc_predict(spark, d):
     sf = sites.lineitem(spark, d)
     return linear.descend(sf, "sigmoid", classes=["A", "N", "R"], steps=3, rate=0.5).predict(sf.df, "predicted").groupBy("class", "predicted").agg(F.count("*").alias("n"))
@@ -613,7 +738,7 @@ def mlc_predict(spark, d):
 
 # Support vector machines, kernel regression.
 
-_HF = "k AS (SELECT any_value(site) AS site, row_id, any_value(y) * 2 - 1 AS y, " + ", ".join(f"max(CASE WHEN cid = {i} THEN exp(-dist / 4e0) END) AS k{i + 1}" for i in range(4)) + " FROM p GROUP BY row_id)"
+_HF = "k AS (SELECT any_value(site) AS site, row_id, any_value(y) * 2 - 1 AS y, " + ", ".join(f"max(CASE WHEN cid = {i} THEN exp(-dist / 1e0) END) AS k{i + 1}" for i in range(4)) + " FROM p GROUP BY row_id)"
 _W = (0.4, -0.2, 0.3, -0.5)
 
 
@@ -625,7 +750,7 @@ def _hinge_sql(how):
 
 def _hinge(spark, d, how):
     sf = sites.embeddings(spark, d)
-    kf = kernels.features(sf, _centroids(sf), kernels.width(4), halved=False)
+    kf = kernels.features(sf, _centroids(sf), WIDTH, halved=False)
     g = kernels.hinge_gradients(kf, np.array(_W), 2.0, kernels.sign_target(sf)).agg(*(how(f"g{i}").alias(f"g{i}") for i in range(4)))
     return rounded(g.select(F.posexplode(F.array(*(f"g{i}" for i in range(4)))).alias("pos", "g")), "g", k=5)
 
@@ -643,13 +768,32 @@ def svm_grad_sum(spark, d):
 @query(f"WITH {em()}, {CD}, {_HF} SELECT row_id, CASE WHEN {' + '.join(f'k{i + 1} * {w!r}' for i, w in enumerate(_W))} >= 0 THEN 1e0 ELSE -1e0 END AS predicted FROM k")
 def svm_sign(spark, d):
     sf = sites.embeddings(spark, d)
-    return kernels.Kernel({"": np.array(_W)}, _centroids(sf), kernels.width(4), halved=False, intercept=False).predict(sf, "predicted", hard=True).select("row_id", "predicted")
-
-
-@query()
+    return kernels.Kernel({"": np.array(_W)}, _centroids(sf), WIDTH, halved=False, intercept=False).predict(sf, "predicted", hard=True).select("row_id", "predicted")
+
+
+def _svm_fit_sql(steps=3, rate="1e-3"):
+    """Weights after the steps of each way of combining sites; cost 1."""
+    zero, out = ", ".join(f"0e0 AS w{i}" for i in range(4)), []
+    s = " + ".join(f"k.{x} * w.w{i}" for i, x in enumerate(KS))
+    g = ", ".join(f"sum(CASE WHEN y * ({s}) < 1 THEN -y * k.{x} ELSE 0e0 END) AS g{i}" for i, x in enumerate(KS))
+    for how in ("mean", "sum", "sequential"):
+        cur = f"{how}_0"
+        out.append(f"{cur} AS (SELECT {zero})")
+        for t in range(1, steps + 1):
+            for site in range(4) if how == "sequential" else (None,):
+                name = f"{how}_{t}" if site in (None, 3) else f"{how}_{t}_{site}"
+                own = f"SELECT site, {g} FROM k, {cur} AS w" + (f" WHERE site = {site}" if site is not None else "") + " GROUP BY site"
+                f_ = "avg" if how == "mean" else "sum"
+                out.append(f"{name} AS MATERIALIZED (SELECT {', '.join(f'w.w{i} - {rate} * g.g{i} AS w{i}' for i in range(4))} FROM {cur} AS w, (SELECT {', '.join(f'coalesce({f_}(g{i}), 0) AS g{i}' for i in range(4))} FROM ({own})) AS g)")
+                cur = name
+    rows = union(f"SELECT '{how}' AS combine, {i} AS pos, {r(f'w{i}')} AS w FROM {how}_{steps}" for how in ("mean", "sum", "sequential") for i in range(4))
+    return f"WITH {em()}, {CD}, {_HF.replace('k AS (', 'k AS MATERIALIZED (', 1)}, {', '.join(out)} {rows}"
+
+
+@query(_svm_fit_sql())
 def svm_fit(spark, d):
     sf = sites.embeddings(spark, d)
-    rows = [(how, j, round(float(w), 6)) for how in ("mean", "sum", "sequential") for j, w in enumerate(kernels.svm(sf, _centroids(sf), kernels.width(4), steps=3, combine=how).weights[""])]
+    rows = [(how, j, round(float(w), 6) + 0.0) for how in ("mean", "sum", "sequential") for j, w in enumerate(kernels.svm(sf, _centroids(sf), WIDTH, steps=3, combine=how).weights[""])]
     return table_of(spark, rows, "combine string, pos int, w double")
 
 
@@ -661,7 +805,7 @@ _IA = "CASE WHEN e < 0 THEN 0e0 WHEN e >= 0.01 THEN 2e0 / e ELSE 200e0 END"
 @query(f"WITH {em()}, {CD}, {KF}, e AS (SELECT row_id, {_IE} AS e FROM k) SELECT row_id, {r(_IA, 5)} AS weight FROM e")
 def irwls_weights(spark, d):
     sf = sites.embeddings(spark, d)
-    kf = kernels.features(sf, _centroids(sf), kernels.width(4))
+    kf = kernels.features(sf, _centroids(sf), WIDTH)
     e = F.lit(1.0) - kernels.sign_target(sf) * ex.dot(kf.features, _IW)
     return rounded(kf.df.select("row_id", kernels.irwls_weight(e, 1.0, 0.01).alias("weight")), "weight", k=5)
 
@@ -669,7 +813,7 @@ def irwls_weights(spark, d):
 @query(f"WITH {em()}, {CD}, {KF}, e AS (SELECT *, {_IE} AS e FROM k), z AS (SELECT k1, k2, k3, k4, 2 * y - 1 AS y, {_IA} AS a_ FROM e) {_gram_sql(KS, False, 'a_', 3, 'z')}")
 def weighted_gram(spark, d):
     sf = sites.embeddings(spark, d)
-    kf = kernels.features(sf, _centroids(sf), kernels.width(4))
+    kf = kernels.features(sf, _centroids(sf), WIDTH)
     g = kernels.weighted_gram(kf, np.array(_IW), kernels.sign_target(sf), 1.0, 0.01)
     return rounded(g, "value", k=3)
 
@@ -679,58 +823,200 @@ def _accuracy(spark, sf, model, label=None):
     return rounded(metrics.accuracy(found, "p", "t"), "accuracy")
 
 
-@query()
+_T = ("1e0", *KS)
+#: Kernels among the centroids c, as one row of q1_1, q1_2, ….
+_DCC = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in ES)
+_KCC = "q AS MATERIALIZED (SELECT " + ", ".join(f"max(CASE WHEN a.row_id = {i} AND b.row_id = {j} THEN exp(-({_DCC}) / 2e0) END) AS q{i + 1}_{j + 1}" for i in range(4) for j in range(4)) + " FROM c AS a, c AS b)"
+_KM = KF.replace("k AS (", "k AS MATERIALIZED (", 1)
+
+
+def _kcc(i, j):
+    return "1e-5" if i == j == 0 else f"any_value(q{i}_{j})" if i and j else "0e0"
+
+
+def _reweighted(t, rows, y, keys="", eps="1e-4"):
+    """CTEs v{t}: the solution that weights w{t - 1} lead to, by keys of both rows and weights."""
+    e = f"1e0 - {y} * ({_dot(_T)})"
+    a = f"CASE WHEN e < 0 THEN 0e0 WHEN e >= {eps} THEN 2e0 / e ELSE 2e0 / {eps} END"
+    on = f"JOIN w{t - 1} AS w ON w.{keys} = r.{keys}" if keys else f", w{t - 1} AS w"
+    inner = f"SELECT r.*, {y} AS t, {e} AS e FROM {rows} AS r {on}"
+    group = f" GROUP BY {keys}" if keys else ""
+    return f"m{t} AS (SELECT {keys + ', ' if keys else ''}{_normal(_T, 't', _kcc, 'a_')} FROM (SELECT *, {a} AS a_ FROM ({inner})), q{group}), " + _solution(f"m{t}", 5, f"v{t}", keys)
+
+
+def _moved(t):
+    return f"sqrt({' + '.join(f'(b.w{i} - a.w{i}) ** 2' for i in range(5))}) / CASE WHEN {' + '.join(f'a.w{i} ** 2' for i in range(5))} = 0 THEN 1e0 ELSE sqrt({' + '.join(f'a.w{i} ** 2' for i in range(5))}) END"
+
+
+_ZERO5 = ", ".join(f"0e0 AS w{i}" for i in range(5))
+_HIT = f"avg(CASE WHEN ({_dot(_T)} >= 0) = (y = 1) THEN 1e0 ELSE 0e0 END)"
+
+
+def _bsvm_fit_sql(steps=4):
+    """All steps, and the last one before the accuracy on the validation rows no longer rises."""
+    parts = [f"tr AS MATERIALIZED (SELECT * FROM k WHERE row_id % 10 <> 0), w0 AS (SELECT {_ZERO5})"]
+    for t in range(1, steps + 1):
+        parts.append(_reweighted(t, "tr", "(2 * y - 1)"))
+        parts.append(f"w{t} AS MATERIALIZED (SELECT * FROM v{t}), s{t} AS MATERIALIZED (SELECT (SELECT {_HIT} FROM k, w{t} AS w WHERE row_id % 10 = 0) AS acc, (SELECT {_HIT} FROM k, w{t} AS w) AS hit, (SELECT {_moved(t)} FROM w{t - 1} AS a, w{t} AS b) AS moved)")
+    rules = []
+    for t in range(1, steps + 1):
+        if t > 1:
+            rules.append(f"WHEN (SELECT acc FROM s{t}) <= (SELECT acc FROM s{t - 1}) THEN (SELECT hit FROM s{t - 1})")
+        rules.append(f"WHEN (SELECT moved FROM s{t}) < 1e-3 THEN (SELECT hit FROM s{t})")
+    return f"WITH {em()}, {CD}, {_KM}, {_KCC}, {', '.join(parts)} SELECT {r(f'CASE {" ".join(rules)} ELSE (SELECT hit FROM s{steps}) END')} AS accuracy"
+
+
+@query(_bsvm_fit_sql())
 def bsvm_fit(spark, d):
     sf = sites.embeddings(spark, d)
     train, val = sf.halves(F.col("row_id") % 10 == 0)
-    return _accuracy(spark, sf, kernels.budget_svm(train, _centroids(sf), kernels.width(4), steps=4, validation=val))
+    return _accuracy(spark, sf, kernels.budget_svm(train, _centroids(sf), WIDTH, steps=4, validation=val))
 
 
-@query()
+def _mbsvm_fit_sql(steps=2):
+    rows = "r3 AS MATERIALIZED (SELECT k.*, CAST(label % 3 AS VARCHAR) AS class, n.cls, CASE WHEN CAST(label % 3 AS VARCHAR) = n.cls THEN 1e0 ELSE -1e0 END AS s FROM k, (VALUES ('0'), ('1'), ('2')) AS n(cls))"
+    parts = [rows, "w0 AS (" + union(f"SELECT '{c}' AS cls, {_ZERO5}" for c in "012") + ")"]
+    for t in range(1, steps + 1):
+        parts += [_reweighted(t, "r3", "r.s", "cls"), f"w{t} AS MATERIALIZED (SELECT * FROM v{t})"]
+    best = f"SELECT * FROM (SELECT r3.row_id, class, r3.cls, {_dot(_T)} AS o FROM r3 JOIN w{steps} AS w ON w.cls = r3.cls) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY o DESC, cls) = 1"
+    return f"WITH {em()}, {CD}, {_KM}, {_KCC}, {', '.join(parts)} SELECT {r('avg(CASE WHEN cls = class THEN 1e0 ELSE 0e0 END)')} AS accuracy FROM ({best})"
+
+
+@query(_mbsvm_fit_sql())
 def mbsvm_fit(spark, d):
     sf = sites.embeddings(spark, d)
     sf = sf.having(sf.df.withColumn("class", (F.col("label") % 3).cast("string")))
-    return _accuracy(spark, sf, kernels.budget_svm(sf, _centroids(sf), kernels.width(4), steps=2, classes=["0", "1", "2"]), "class")
+    return _accuracy(spark, sf, kernels.budget_svm(sf, _centroids(sf), WIDTH, steps=2, classes=["0", "1", "2"]), "class")
 
 
-@query()
+def _dsvm_fit_sql(steps=2):
+    """At each step the blend of old and new weights with the best area under the curve on the validation rows."""
+    parts = [f"tr AS MATERIALIZED (SELECT * FROM k WHERE row_id % 10 <> 0), w0 AS (SELECT {_ZERO5})"]
+    for t in range(1, steps + 1):
+        parts.append(_reweighted(t, "tr", "(2 * y - 1)"))
+        scored = f"SELECT l, y, (1e0 - l / 1e2) * ({_dot(_T, 'a')}) + l / 1e2 * ({_dot(_T, 'b')}) AS s FROM k, w{t - 1} AS a, v{t} AS b, range(-100, 200) AS x(l) WHERE row_id % 10 = 0"
+        ranked = f"SELECT l, y, rank() OVER (PARTITION BY l ORDER BY s) + (count(*) OVER (PARTITION BY l, s) - 1) / 2e0 AS rk FROM ({scored})"
+        auc = "(sum(CASE WHEN y = 1 THEN rk END) - count_if(y = 1) * (count_if(y = 1) + 1) / 2e0) / (count_if(y = 1) * count_if(y = 0))"
+        parts.append(f"l{t} AS MATERIALIZED (SELECT l FROM (SELECT l, {auc} AS auc FROM ({ranked}) GROUP BY l) ORDER BY auc DESC, abs(l - 100), l LIMIT 1)")
+        parts.append(f"w{t} AS MATERIALIZED (SELECT {', '.join(f'(1e0 - l / 1e2) * a.w{i} + l / 1e2 * b.w{i} AS w{i}' for i in range(5))} FROM w{t - 1} AS a, v{t} AS b, l{t})")
+    return f"WITH {em()}, {CD}, {_KM}, {_KCC}, {', '.join(parts)} SELECT {r(_HIT)} AS accuracy FROM k, w{steps} AS w"
+
+
+@query(_dsvm_fit_sql())
 def dsvm_fit(spark, d):
     sf = sites.embeddings(spark, d)
     train, val = sf.halves(F.col("row_id") % 10 == 0)
-    return _accuracy(spark, sf, kernels.budget_svm(train, _centroids(sf), kernels.width(4), steps=2, validation=val, search=True))
+    return _accuracy(spark, sf, kernels.budget_svm(train, _centroids(sf), WIDTH, steps=2, validation=val, search=True))
 
 
-@query()
+def _pruned(n, to):
+    """CTEs that end in kept: the row_ids of the first n vectors without the later one of the closest two, until few are left."""
+    parts = [f"z AS MATERIALIZED (SELECT a.row_id AS i, b.row_id AS j, {_DCC} AS d FROM f AS a, f AS b WHERE a.row_id < b.row_id AND b.row_id < {n})", f"o0 AS (SELECT row_id FROM f WHERE row_id < {n})"]
+    for t in range(1, n - to + 1):
+        name = "kept" if t == n - to else f"o{t}"
+        parts.append(f"{name} AS MATERIALIZED (SELECT row_id FROM o{t - 1} WHERE row_id <> (SELECT j FROM z WHERE i IN (SELECT row_id FROM o{t - 1}) AND j IN (SELECT row_id FROM o{t - 1}) ORDER BY d, i, j LIMIT 1))")
+    return ", ".join(parts)
+
+
+def _fbsvm_fit_sql(rounds=2, epochs=2):
+    c = f"c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, {', '.join(ES)} FROM f WHERE row_id IN (SELECT row_id FROM kept)), p AS (SELECT f.*, c.row_id AS cid, {_D} AS dist FROM f, c)"
+    parts, w = ["w0 AS (" + union(f"SELECT {s} AS site, {_ZERO5}" for s in range(4)) + ")"], ", ".join(f"w{i}" for i in range(5))
+    for t in range(1, rounds * epochs + 1):
+        parts.append(_reweighted(t, "k", "(2 * y - 1)", "site"))
+        shared = t % epochs == 0
+        parts.append(f"w{t} AS MATERIALIZED (SELECT site, {', '.join(f'avg(w{i}) OVER () AS w{i}' for i in range(5)) if shared else w} FROM v{t})")
+    return f"WITH {em()}, {_pruned(12, 4)}, {c}, {_KM}, {_KCC}, {', '.join(parts)} SELECT {r(_HIT)} AS accuracy FROM k JOIN w{rounds * epochs} AS w ON w.site = 0"
+
+
+@query(_fbsvm_fit_sql())
 def fbsvm_fit(spark, d):
     sf = sites.embeddings(spark, d)
     c = ranking.prune(_centroids(sf, 12), 4)
-    return _accuracy(spark, sf, kernels.federated_svm(sf, c, kernels.width(4), rounds=2, epochs=2))
+    return _accuracy(spark, sf, kernels.federated_svm(sf, c, WIDTH, rounds=2, epochs=2))
 
 
 @query(_descent_sql("linear", 1, 0.1, frm=f"f0 AS ({'SELECT * FROM (' + em()[6:-1] + ')'}), " + CD.replace("FROM f WHERE", "FROM f0 AS f WHERE").replace("FROM f, c)", "FROM f0 AS f, c)") + ", " + KF.replace("k AS (", "f AS (", 1), xs=KS) + _weights_sql(5, 1))
 def kr_gd_step(spark, d):
     sf = sites.embeddings(spark, d)
-    model = kernels.regress(sf, _centroids(sf), kernels.width(4), steps=1)
+    model = kernels.regress(sf, _centroids(sf), WIDTH, steps=1)
     return _weights(spark, linear.Linear(model.weights, KS))
 
 
-@query()
+@query(
+    f"WITH {em()}, {CD}, {_KM}, w0 AS (SELECT {_ZERO5}), "
+    + ", ".join(
+        f"g{t} AS (SELECT {', '.join(f'avg(g{j}) AS g{j}' for j in range(5))} FROM (SELECT site, {', '.join(f'avg(CASE WHEN t * (t - s) > 0 THEN (s - t) * {x} ELSE 0e0 END) AS g{j}' for j, x in enumerate(_T))} FROM (SELECT k.*, 2 * y - 1 AS t, {_dot(_T)} AS s FROM k, w{t - 1} AS w) GROUP BY site)), "
+        f"w{t} AS MATERIALIZED (SELECT {', '.join(f'w.w{j} - 0.5e0 * g.g{j} AS w{j}' for j in range(5))} FROM w{t - 1} AS w, g{t} AS g)"
+        for t in (1, 2, 3)
+    )
+    + " "
+    + union(f"SELECT '' AS class, {j} AS pos, {r(f'w{j}')} AS w FROM w3" for j in range(5))
+)
+def bsvm_sign_steps(spark, d):
+    """Three gradient steps along the errors of rows inside their margin."""
+    sf = sites.embeddings(spark, d)
+    return _weights(spark, linear.Linear(kernels.sign_svm(sf, _centroids(sf), WIDTH, steps=3, rate=0.5, stop=0.0).weights, KS))
+
+
+@query(
+    f"WITH {em()}, {CD}, {_KM}, m AS (SELECT {_normal(_T, 'y', lambda i, j: '0.01e0 * count(*)' if i == j else '0e0')} FROM k WHERE row_id % 10 = 0), {_solution('m', 5, 'w0')}, "
+    f"g AS (SELECT {', '.join(f'avg(g{j}) AS g{j}' for j in range(5))} FROM (SELECT site, {', '.join(f'avg(({_dot(_T)} - y) * {x}) AS g{j}' for j, x in enumerate(_T))} FROM k, w0 AS w WHERE row_id % 10 <> 0 GROUP BY site)) "
+    + union(f"SELECT '' AS class, {j} AS pos, {r(f'w.w{j} - 0.1e0 * g.g{j}')} AS w FROM w0 AS w, g" for j in range(5))
+)
+def kr_warm_step(spark, d):
+    """A gradient step that starts from a ridge regression on the validation rows."""
+    sf = sites.embeddings(spark, d)
+    train, val = sf.halves(F.col("row_id") % 10 == 0)
+    return _weights(spark, linear.Linear(kernels.regress(train, _centroids(sf), WIDTH, steps=1, validation=val).weights, KS))
+
+
+@query(f"WITH {em()}, {CD}, {_KM}, m AS (SELECT {_normal(_T, 'y', _ridge(0.01))} FROM k), {_solution('m', 5, 'w')}, o AS (SELECT y, {_dot(_T)} AS s FROM k, w) SELECT {r('avg((y - s) * (y - s))')} AS mse, {r('1 - sum((y - s) * (y - s)) / (count(*) * var_pop(y))')} AS r2 FROM o")
 def kr_closed_form(spark, d):
     sf = sites.embeddings(spark, d)
-    out = kernels.regress(sf, _centroids(sf), kernels.width(4)).predict(sf)
+    out = kernels.regress(sf, _centroids(sf), WIDTH).predict(sf)
     return rounded(metrics.errors(out, "score", "y"), "mse", "r2")
 
 
 # Ranking and metrics.
 
 
-@query()
+def _subset_sql(n, frm, penalty, keys_of_mask):
+    """CTE m: the normal equations of each mask; what a mask leaves out has a row and column of the identity instead."""
+    inside = lambda i: "TRUE" if i == 0 else keys_of_mask(i)
+    cell = lambda i, j: f"CASE WHEN {inside(i)} AND {inside(j)} THEN g{min(i, j)}_{max(i, j)} ELSE 0e0 END + {f'CASE WHEN {inside(i)} THEN {penalty!r} ELSE 1e0 END' if i == j else '0e0'} AS m{i}_{j}"
+    cols = [cell(i, j) for i in range(n) for j in range(n)] + [f"CASE WHEN {inside(i)} THEN g{i}_{n} ELSE 0e0 END AS m{i}_{n}" for i in range(n)]
+    return f"m AS (SELECT mask, {', '.join(cols)} FROM {frm})"
+
+
+def _products(prefix, terms, y, frm, where, key=""):
+    """Columns {prefix}{i}_{j} of sums of products of terms and y, each pair once."""
+    both = [*terms, y]
+    cols = ", ".join(f"sum({both[i]} * {both[j]}) AS {prefix}{i}_{j}" for i in range(len(both)) for j in range(i, len(both)))
+    return f"SELECT {key + ', ' if key else ''}{cols} FROM {frm} WHERE {where}" + (f" GROUP BY {key}" if key else "")
+
+
+def _residual(n, prefix="v"):
+    """The sum of squared errors of weights w on the products of other rows."""
+    cross = " + ".join(f"w{i} * {prefix}{i}_{n}" for i in range(n))
+    square = " + ".join(f"w{i} * w{j} * {prefix}{min(i, j)}_{max(i, j)}" for i in range(n) for j in range(n))
+    return f"({prefix}{n}_{n} - 2 * ({cross}) + {square})"
+
+
+_TX = ("1e0", *XS)
+_TRAIN, _VALID = "row_id % 10 <> 0", "row_id % 10 = 0"
+_GFS = f"""{LI}, g AS ({_products('g', _TX, 'y', 'f', _TRAIN)}), v AS MATERIALIZED ({_products('v', _TX, 'y', 'f', _VALID)}), gm AS (SELECT * FROM g, (SELECT k AS mask FROM range(0, 16) AS t(k))),
+ {_subset_sql(5, 'gm', 1e-4, lambda i: f"(mask & {1 << i - 1}) <> 0")}, {_solution('m', 5, 'w', 'mask')}, e AS MATERIALIZED (SELECT mask, {_residual(5)} / v0_0 AS err FROM w, v), s0 AS (SELECT 0 AS mask, 0e0 AS err)"""
+for _k in range(1, 5):
+    _GFS += f", s{_k} AS MATERIALIZED (SELECT e.mask, e.err FROM e, s{_k - 1} AS p WHERE bit_count(e.mask) = {_k} AND (e.mask & p.mask) = p.mask ORDER BY e.err, e.mask LIMIT 1)"
+
+
+@query(f"WITH {_GFS} " + union(f"SELECT {k - 1} AS step, 'x' || CAST(bit_count(xor(a.mask, b.mask) - 1) + 1 AS VARCHAR) AS feature, {r('b.err')} AS error FROM s{k - 1} AS a, s{k} AS b" for k in range(1, 5)))
 def gfs_rank(spark, d):
     train, val = sites.lineitem(spark, d).halves(F.col("row_id") % 10 == 0)
     return table_of(spark, [(i, x, round(e, 6)) for i, (x, e) in enumerate(ranking.greedy_features(train, val))], "step int, feature string, error double")
 
 
-@query()
+@query(f"WITH {em()}, {_pruned(20, 5)} SELECT CAST(row_number() OVER (ORDER BY f.row_id) - 1 AS INT) AS centroid, {', '.join(ES)} FROM f WHERE row_id IN (SELECT row_id FROM kept)")
 def prune_centroids(spark, d):
     sf = sites.embeddings(spark, d)
     return table_of(spark, [(i, *map(float, c)) for i, c in enumerate(ranking.prune(_centroids(sf, 20), 5))], "centroid int, " + ", ".join(f"{x} double" for x in ES))
@@ -813,7 +1099,27 @@ def online_value_decay(spark, d):
     return rounded(value.decayed(h), "value", k=4)
 
 
-@query()
+_MASKED = f"""{LI}, g AS ({_products('g', _TX, 'y', 'f', _TRAIN, 'site')}), v AS MATERIALIZED ({_products('v', _TX, 'y', 'f', _VALID)}), gs AS (SELECT mask, {', '.join(f'sum(g{i}_{j}) AS g{i}_{j}' for i in range(6) for j in range(i, 6))} FROM g, (SELECT k AS mask FROM range(1, 16) AS t(k)) WHERE (mask & (1 << site)) <> 0 GROUP BY mask),
+ {_subset_sql(5, 'gs', 1e-2, lambda i: "TRUE")}, {_solution('m', 5, 'w', 'mask')}"""
+
+
+def _greedy_sql(n=4):
+    """CTEs s0, s1, …: the best mask of each size that holds the one before, of e (mask, u)."""
+    parts = ["s0 AS (SELECT 0 AS mask, 0e0 AS u)"]
+    for k in range(1, n + 1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT e.mask, e.u FROM e, s{k - 1} AS p WHERE bit_count(e.mask) = {k} AND (e.mask & p.mask) = p.mask ORDER BY e.u DESC, e.mask LIMIT 1)")
+    return ", ".join(parts)
+
+
+_SITE_OF = "CAST(bit_count(xor(a.mask, b.mask) - 1) AS INT)"
+_UTIL = f"e AS MATERIALIZED (SELECT mask, 1 - {_residual(5)} / v5_5 AS u FROM w, v)"
+
+
+@query(
+    f"WITH {_MASKED}, {_UTIL}, {_greedy_sql()}, o AS ("
+    + union(f"SELECT {k - 1} AS step, {_SITE_OF} AS site, greatest(b.u - greatest({', '.join(f'(SELECT u FROM s{q})' for q in range(k))}), 0) AS gain FROM s{k - 1} AS a, s{k} AS b" for k in range(1, 5))
+    + f") SELECT step, site, {r('gain / (SELECT CASE WHEN sum(gain) = 0 THEN 1 ELSE sum(gain) END FROM o)')} AS gain FROM o"
+)
 def greedy_sites(spark, d):
     """Sites in the order in which they lower the validation error of a ridge regression most.
 
@@ -826,7 +1132,46 @@ def greedy_sites(spark, d):
     return table_of(spark, [(i, s, round(float(x), 6)) for i, (s, x) in enumerate(value.greedy_sites(sorted(own), utility))], "step int, site int, gain double")
 
 
-@query()
+@query(
+    f"WITH {_MASKED}, q AS MATERIALIZED (SELECT mask, 1 - {_residual(5)} / v5_5 AS utility FROM w, v), {_shapley_sql('q')}, y AS (SELECT site, greatest(CASE WHEN max(score) OVER () <= 0 THEN score - 2 * min(score) OVER () ELSE score END, 0) AS s FROM x) SELECT site, {r('s / sum(s) OVER ()')} AS value FROM y"
+)
+def value_of_products(spark, d):
+    return rounded(value.value_of_products(*_halves(spark, d)), "value")
+
+
+_AUCS = f"""o AS (SELECT mask, y, {_dot(_TX)} AS s FROM f, w WHERE {_VALID}), k AS (SELECT mask, y, rank() OVER (PARTITION BY mask ORDER BY s) + (count(*) OVER (PARTITION BY mask, s) - 1) / 2e0 AS rk FROM o),
+ e AS MATERIALIZED (SELECT mask, (sum(CASE WHEN y = 1 THEN rk END) - count_if(y = 1) * (count_if(y = 1) + 1) / 2e0) / (count_if(y = 1) * count_if(y = 0)) AS u FROM k GROUP BY mask)"""
+
+
+@query(
+    f"WITH {_MASKED}, {_AUCS}, {_greedy_sql()}, z AS ("
+    + union(f"SELECT {k - 1} AS step, {_SITE_OF} AS site, b.u AS area, greatest(b.u - a.u, 0) AS rise FROM s{k - 1} AS a, s{k} AS b" for k in range(1, 5))
+    + f") SELECT step, site, {r('area')} AS area, {r('rise / (SELECT CASE WHEN sum(rise) = 0 THEN 1 ELSE sum(rise) END FROM z)')} AS value FROM z"
+)
+def posterior_auc(spark, d):
+    """Sites in the order in which they raise the area under the curve of a ridge regression most."""
+    found = value.greedy_auc(*_halves(spark, d), linear.ridge)
+    return table_of(spark, [(i, s, round(a, 6), round(v, 6)) for i, (s, a, v) in enumerate(found)], "step int, site int, area double, value double")
+
+
+def _online_sql(steps=2, rate="0.5e0"):
+    """Each step's gradients by site, weights and errors of all coalitions, Shapley values and shares."""
+    parts, weight = [f"w0 AS (SELECT {_ZERO5})"], "(CASE bit_count(CAST(a.mask AS INT)) WHEN 0 THEN 6 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 6 END) / 24e0"
+    logistic = f"1e0 / (1e0 + exp(-({_dot(_TX)})))"
+    for t in range(steps):
+        parts += [
+            f"g{t} AS MATERIALIZED (SELECT site, {', '.join(f'avg((s - y) * {x}) AS g{j}' for j, x in enumerate(_TX))} FROM (SELECT f.*, {logistic} AS s FROM f, w{t} AS w WHERE {_TRAIN}) GROUP BY site)",
+            f"c{t} AS MATERIALIZED (SELECT mask, {', '.join(f'any_value(w.w{j}) - {rate} * coalesce(avg(g{j}), 0) AS w{j}' for j in range(5))} FROM w{t} AS w, (SELECT k AS mask FROM range(0, 16) AS t(k)) LEFT JOIN g{t} ON (mask & (1 << site)) <> 0 GROUP BY mask)",
+            f"e{t} AS MATERIALIZED (SELECT mask, avg(-y * ln(o) - (1 - y) * ln(1 - o)) AS err FROM (SELECT mask, y, ({logistic}) * (1 - 2e-6) + 1e-6 AS o FROM f, c{t} AS w WHERE {_VALID}) GROUP BY mask)",
+            f"u{t} AS MATERIALIZED (SELECT mask, (SELECT err FROM e{t} WHERE mask = 0) - err AS utility FROM e{t})",
+            f"x{t} AS (SELECT CAST(i AS INT) AS site, sum({weight} * (b.utility - a.utility)) AS score FROM u{t} AS a, range(0, 4) AS n(i), u{t} AS b WHERE (a.mask & (1 << i)) = 0 AND b.mask = a.mask | (1 << i) GROUP BY i)",
+            f"y{t} AS (SELECT site, greatest(CASE WHEN max(score) OVER () <= 0 THEN score - 2 * min(score) OVER () ELSE score END, 0) AS s FROM x{t})",
+            f"w{t + 1} AS MATERIALIZED (SELECT w0, w1, w2, w3, w4 FROM c{t} WHERE mask = 15)",
+        ]
+    return f"WITH {LI}, {', '.join(parts)} " + union(f"SELECT {t} AS step, site, {r('s / sum(s) OVER ()', 5)} AS value FROM y{t}" for t in range(steps))
+
+
+@query(_online_sql())
 def online_value(spark, d):
     history, _ = value.online(*_halves(spark, d), steps=2)
     return rounded(history, "value", k=5)
@@ -872,16 +1217,69 @@ def server_sgd(spark, d):
     return _weights(spark, linear.Linear({"": w}, XS))
 
 
-@query()
+_NET = networks.Network((64, 3, 1)).w
+
+
+def _nn_forward(w=lambda i: f"w.w{i}", x=lambda i: f"f.e{i + 1}"):
+    """The hidden layer and the output of the network as columns of a row and its weights."""
+    h = [f"tanh({' + '.join(f'{x(i)} * {w(3 * i + j)}' for i in range(64))} + {w(192 + j)})" for j in range(3)]
+    return h, lambda hs: f"1e0 / (1e0 + exp(-({' + '.join(f'{a} * {w(195 + j)}' for j, a in enumerate(hs))} + {w(198)})))"
+
+
+def _nn_sql(rounds=2, epochs=2, rate="0.5e0"):
+    """The weights of each way of training, step by step: weights as (site, pos, w), rows as (row_id, site, i, v)."""
+    literal = ", ".join(f"{float(v)!r}{'' if 'e' in repr(float(v)) else 'e0'}" for v in _NET)
+    parts = [
+        f"l AS MATERIALIZED (SELECT row_id, site, unnest(range(0, 64)) AS i, unnest([{', '.join(ES)}]) AS v FROM f)",
+        f"i0 AS MATERIALIZED (SELECT site, pos, w FROM (SELECT unnest(range(0, {len(_NET)})) AS pos, unnest([{literal}]) AS w), (SELECT CAST(s AS INT) AS site FROM range(0, 4) AS t(s)))",
+    ]
+
+    def stepped(cur, name, only="", mean=False):
+        """The CTEs of a step from the weights of cur; mean: all sites take the mean gradient."""
+        m = "MATERIALIZED"
+        parts.append(f"{name}_h AS {m} (SELECT z.row_id, z.site, z.j, tanh(z.z + b.w) AS h FROM (SELECT l.row_id, l.site, w.pos % 3 AS j, sum(l.v * w.w) AS z FROM l JOIN {cur} AS w ON w.site = l.site AND w.pos // 3 = l.i AND w.pos < 192{only} GROUP BY ALL) AS z JOIN {cur} AS b ON b.site = z.site AND b.pos = 192 + z.j)")
+        parts.append(f"{name}_d AS {m} (SELECT h.row_id, h.site, 1e0 / (1e0 + exp(-(sum(h.h * v.w) + any_value(c.w)))) - any_value(f.y) AS d FROM {name}_h AS h JOIN {cur} AS v ON v.site = h.site AND v.pos = 195 + h.j JOIN {cur} AS c ON c.site = h.site AND c.pos = 198 JOIN f ON f.row_id = h.row_id GROUP BY h.row_id, h.site)")
+        parts.append(f"{name}_q AS {m} (SELECT h.row_id, h.site, h.j, h.h, d.d, d.d * v.w * (1 - h.h * h.h) AS q FROM {name}_h AS h JOIN {name}_d AS d ON d.row_id = h.row_id JOIN {cur} AS v ON v.site = h.site AND v.pos = 195 + h.j)")
+        grads = union((
+            f"SELECT l.site, 3 * l.i + q.j AS pos, avg(q.q * l.v) AS g FROM l JOIN {name}_q AS q ON q.row_id = l.row_id GROUP BY ALL", f"SELECT site, 192 + j AS pos, avg(q) AS g FROM {name}_q GROUP BY ALL",
+            f"SELECT site, 195 + j AS pos, avg(d * h) AS g FROM {name}_q GROUP BY ALL", f"SELECT site, 198 AS pos, avg(d) AS g FROM {name}_d GROUP BY ALL",
+        ))
+        g = "avg(g.g) OVER (PARTITION BY g.pos)" if mean else "g.g"
+        parts.append(f"{name} AS {m} (SELECT w.site, w.pos, w.w - {rate} * {g} AS w FROM {cur} AS w JOIN ({grads}) AS g ON g.site = w.site AND g.pos = w.pos)")
+        return name
+
+    last = {}
+    for how in ("mean_weights", "median_weights", "mean_gradients", "sequential"):
+        cur = "i0"
+        for t in range(rounds):
+            if how == "mean_gradients":
+                cur = stepped(cur, f"{how}_{t}", mean=True)
+                continue
+            for group in range(4) if how == "sequential" else ("",):
+                for e in range(epochs):
+                    cur = stepped(cur, f"{how}_{t}{group}_{e}", f" AND l.site = {group}" if group != "" else "")
+                name = f"{how}_{t}{group}"
+                f_ = "quantile_cont(w, 0.5)" if how == "median_weights" else "avg(w)"
+                parts.append(f"{name} AS MATERIALIZED (SELECT CAST(s AS INT) AS site, pos, w FROM (SELECT pos, {f_} AS w FROM {cur} GROUP BY pos), range(0, 4) AS t(s))")
+                cur = name
+        last[how] = cur
+    rows = union(f"SELECT '{how}' AS how, CAST(pos AS INT) AS pos, {r('w')} AS w FROM {cur} WHERE site = 0" for how, cur in last.items())
+    return f"WITH {em()}, {', '.join(parts)} {rows}"
+
+
+@query(_nn_sql())
 def nn_average(spark, d):
     rows = []
     for how in ("mean_weights", "median_weights", "mean_gradients", "sequential"):
-        net = networks.train(sites.embeddings(spark, d), networks.Network((4, 3, 1)), how, rounds=2, epochs=2, rate=0.5)
-        rows += [(how, i, round(float(w), 6)) for i, w in enumerate(net.w)]
+        net = networks.train(sites.embeddings(spark, d), networks.Network((64, 3, 1)), how, rounds=2, epochs=2, rate=0.5)
+        rows += [(how, i, round(float(w), 6) + 0.0) for i, w in enumerate(net.w)]
     return table_of(spark, rows, "how string, pos int, w double")
 
 
-@query()
+_NH, _NO = _nn_forward(lambda i: f"({float(_NET[i])!r}{'' if 'e' in repr(float(_NET[i])) else 'e0'})")
+
+
+@query(f"WITH {em()}, h AS (SELECT row_id, {', '.join(f'{a} AS h{j}' for j, a in enumerate(_NH))} FROM f) SELECT row_id, {r(_NO(['h0', 'h1', 'h2']))} AS score FROM h")
 def nn_predict(spark, d):
     sf = sites.embeddings(spark, d)
-    return rounded(networks.predict(sf, networks.Network((4, 3, 1))), "score").select("row_id", "score")
+    return rounded(networks.predict(sf, networks.Network((64, 3, 1))), "score").select("row_id", "score")

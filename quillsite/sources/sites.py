@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,20 @@ class SiteFrame:
         return self.having(self.df.filter(~validation)), self.having(self.df.filter(validation))
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """df, cached meanwhile unless its owner has cached it already; the owner's cache stays."""
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    if own:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if own:
+            df.unpersist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +82,8 @@ def lineitem(spark: SparkSession, sf_dir: str) -> SiteFrame:
     return SiteFrame(df, ("x1", "x2", "x3", "x4"))
 
 
-def embeddings(spark: SparkSession, sf_dir: str, dims: int = 4) -> SiteFrame:
+def embeddings(spark: SparkSession, sf_dir: str, dims: int = 64) -> SiteFrame:
+    """All components of the vectors as features e1, e2, …, a label of ten classes, and whether it is one of the first five."""
     df = table(spark, sf_dir, "embeddings").select(
         site_of(F.col("vec_id")).alias("site"),
         F.col("vec_id").alias("row_id"),
@@ -97,7 +116,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def save_model(spark: SparkSession, name: str, weights: dict[str, list[float]], path: str) -> None:
-    """A model as a table: (model, class, pos, w)."""
+    """Weights by class as a table: (model, class, pos, w)."""
     rows = [(name, c, i, float(w)) for c, ws in weights.items() for i, w in enumerate(ws)]
     spark.createDataFrame(rows, "model string, class string, pos int, w double").write.mode("overwrite").parquet(path)
 
@@ -107,3 +126,31 @@ def load_model(spark: SparkSession, path: str) -> dict[str, list[float]]:
     for r in spark.read.parquet(path).orderBy("class", "pos").collect():
         out.setdefault(r["class"], []).append(r["w"])
     return out
+
+
+def save_parts(spark: SparkSession, kind: str, parts: dict, path: str) -> None:
+    """A model or preprocessor as a table (kind, part, value, at, x): arrays as rows of numbers, all else as JSON."""
+    rows = [(kind, "kind", json.dumps(kind), None, None)]
+    for part, value in parts.items():
+        if isinstance(value, np.ndarray):
+            rows.append((kind, part, json.dumps({"shape": value.shape}), None, None))
+            rows += [(kind, part, None, i, float(x)) for i, x in enumerate(value.ravel())]
+        else:
+            rows.append((kind, part, json.dumps(value), None, None))
+    spark.createDataFrame(rows, "kind string, part string, value string, at bigint, x double").write.mode("overwrite").parquet(path)
+
+
+def load_parts(spark: SparkSession, path: str) -> tuple[str, dict]:
+    """The kind and parts that save_parts() wrote."""
+    heads: dict = {}
+    numbers: dict[str, list[tuple[int, float]]] = {}
+    for r in spark.read.parquet(path).collect():
+        if r["value"] is not None:
+            heads[r["part"]] = json.loads(r["value"])
+        else:
+            numbers.setdefault(r["part"], []).append((r["at"], r["x"]))
+    kind, out = heads.pop("kind"), {}
+    for part, head in heads.items():
+        array = isinstance(head, dict) and set(head) == {"shape"}
+        out[part] = np.array([x for _, x in sorted(numbers.get(part, []))]).reshape(head["shape"]) if array else head
+    return kind, out

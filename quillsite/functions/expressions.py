@@ -90,7 +90,8 @@ def digest(column: Column, how: str) -> Column:
 
 def uniform(id: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on a whole number and a seed only, by one linear congruential step."""
-    return ((id * 1103515245 + 12345 + seed * 7919) % 2147483648) / F.lit(2147483648.0)
+    size = F.lit(2147483648)
+    return F.pmod(F.pmod(id.cast("bigint"), size) * 1103515245 + 12345 + seed * 7919, size) / F.lit(2147483648.0)
 
 
 def cross_entropy(score: Column, y: Column, eps: float = 1e-6) -> Column:

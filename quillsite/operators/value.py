@@ -191,7 +191,8 @@ def greedy_auc(train: SiteFrame, validation: SiteFrame, fit: Callable[[SiteFrame
     """(site, area, value) in the order in which sites give the model with the greatest area under the curve.
 
     fit: trains on the rows of the chosen sites and gives a model that can predict(). A site's value is what the area
-    rose by when it was added, as a share of all rises; the first one's rise is counted from the baseline.
+    rose by when it was added, as a share of all rises; the first one's rise is counted from the baseline. The area is 0
+    where the validation rows are all of one class.
     """
     left = sorted(r[0] for r in train.df.select(train.site).distinct().collect())
     chosen: list[int] = []
@@ -201,7 +202,7 @@ def greedy_auc(train: SiteFrame, validation: SiteFrame, fit: Callable[[SiteFrame
         for s in left:
             model = fit(train.only([*chosen, s]))
             scored = model.predict(validation.df if isinstance(model, linear.Linear) else validation, "_score")
-            tried.append((metrics.auc(scored, "_score", validation.target).first()[0], s))
+            tried.append((metrics.auc(scored, "_score", validation.target).first()[0] or 0.0, s))
         area, s = max(tried, key=lambda x: (x[0], -x[1]))
         chosen.append(s)
         areas.append(area)

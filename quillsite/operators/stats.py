@@ -144,10 +144,11 @@ def order_statistics(long: DataFrame, ranks: Callable[[Column], Column], keys: t
     before = lambda *by: F.coalesce(F.sum("c").over(Window.partitionBy(*keys, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
     wanted = counts.withColumn("before", before("bin")).withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).filter(held("rank"))
-    wanted = wanted.select(*keys, "bin", "n", "rank", (F.col("rank") - F.col("before")).alias("own"))
-    near = binned.join(F.broadcast(wanted.select(*keys, "bin").distinct()), [*keys, "bin"], "left_semi").groupBy(*keys, "bin", "x").agg(F.count("*").alias("c"))
-    placed = near.withColumn("before", before("bin", "x"))
-    return placed.join(F.broadcast(wanted), [*keys, "bin"]).filter(held("own")).select(*keys, "n", "rank", "x")
+    # A row for each bin with its ranks, so that the bins are counted once; n comes from the facts again, whose broadcast is reused.
+    bins = wanted.groupBy(*keys, "bin").agg(F.collect_list(F.struct("rank", (F.col("rank") - F.col("before")).alias("own"))).alias("wants"))
+    near = binned.join(F.broadcast(bins), [*keys, "bin"]).groupBy(*keys, "bin", "x").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("wants").alias("wants"))
+    placed = near.withColumn("before", before("bin", "x")).select(*keys, "n", "x", "c", "before", F.explode("wants").alias("w"))
+    return placed.select(*keys, "n", "x", "c", "before", "w.*").filter(held("own")).select(*keys, "n", "rank", "x")
 
 
 def quantiles(sf: SiteFrame, shares: tuple[float, ...]) -> DataFrame:

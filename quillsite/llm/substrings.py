@@ -1,4 +1,4 @@
-"""Substring deduplication by a relative Lempel-Ziv parse.
+"""Substring deduplication by anchored phrases, in place of a greedy relative Lempel-Ziv parse.
 
 A window of 20 words is a duplicate if the same words start earlier: in a document of smaller id, or in the same one.
 
@@ -8,7 +8,8 @@ share one. The windows of one anchor make a phrase of up to 32 words. The index
 all blocks are parsed against it:
 
 1. A phrase that is found earlier, in this block or another, is copied from there; phrases whose sources continue each
-   other make one factor. A document is so covered from left to right by factors and by phrases that are new.
+   other are merged to one factor. No text is extended against a block's text, and neither the merging nor a factor's
+   length decides what is removed.
 2. A factor ends inside a phrase where the context of the copied passage changes. Only there, the windows of phrases
    that share their anchor with a different phrase are looked up one by one: the check at factor boundaries.
 

@@ -171,25 +171,33 @@ def pca_matrix(sf: SiteFrame, n: int) -> np.ndarray:
 
 
 def minibatch(sf: SiteFrame, share: float, seed: int = 0) -> SiteFrame:
-    """int(share * rows) rows of each site, those with the least hashes of their ids.
+    """int(share * rows) rows of each site, those with the least hashes of their ids; rows without an id come last.
 
-    The last row that is in is sought among the few whose hash is near the share; rows aren't shuffled or sorted.
+    The last row that is in is sought among the few whose hash is near the share; rows aren't shuffled or sorted. Of rows
+    with equal ids those with the least hash of all columns come first, so that a batch ends within them and reruns agree.
     """
     if share >= 1:
         return sf
-    u, site, id = uniform(F.col(sf.id), seed), F.col(sf.site), F.col(sf.id)
-    sizes = sf.df.groupBy(site.alias("s")).agg(F.count("*").alias("n")).withColumn("want", F.floor(F.col("n") * F.lit(share)))
+    u, site, id = F.coalesce(uniform(F.col(sf.id), seed), F.lit(1.0)), F.col(sf.site), F.col(sf.id)
+    place, tie = F.struct(u.alias("u"), id.alias("id")), F.xxhash64(*(F.col(c) for c, kind in sf.df.dtypes if "map<" not in kind))
+    sizes = sf.df.groupBy(site.alias("_s")).agg(F.count("*").alias("n")).withColumn("_want", F.floor(F.col("n") * F.lit(share)))
     margin = 6 * F.sqrt(F.lit(share * (1 - share)) / F.col("n")) + 6 / F.col("n")
-    band = F.broadcast(sizes.select("s", "want", (F.lit(share) - margin).alias("low"), (F.lit(share) + margin).alias("high")))
-    near = sf.df.select(site.alias("s"), u.alias("u"), id.alias("id")).join(band, "s")
-    below = near.groupBy("s").agg(F.count_if(F.col("u") < F.col("low")).alias("below"), F.count_if(F.col("u") < F.col("high")).alias("upto"))
+    band = F.broadcast(sizes.select("_s", "_want", (F.lit(share) - margin).alias("_low"), (F.lit(share) + margin).alias("_high")))
+    near = sf.df.join(band, site.eqNullSafe(F.col("_s")))
+    below = near.groupBy(F.col("_s").alias("_t")).agg(F.count_if(u < F.col("_low")).alias("_below"), F.count_if(u < F.col("_high")).alias("_upto"))
     # Beyond six deviations a hash would have to be bad; then the whole site is sorted.
-    met = near.join(F.broadcast(below), "s").withColumn("fine", (F.col("below") < F.col("want")) & (F.col("upto") >= F.col("want")))
-    met = met.filter(~F.col("fine") | ((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))))
-    rank = F.row_number().over(Window.partitionBy("s").orderBy("u", "id")) + F.when(F.col("fine"), F.col("below")).otherwise(0)
-    last = met.withColumn("k", rank).filter(F.col("k") == F.col("want")).select(F.col("s").alias("_s"), F.struct("u", "id").alias("_last"))
-    kept = sf.df.join(F.broadcast(last), site.eqNullSafe(F.col("_s"))).filter(F.struct(u.alias("u"), id.alias("id")) <= F.col("_last"))
-    return sf.having(kept.drop("_s", "_last"))
+    met = near.join(F.broadcast(below), F.col("_s").eqNullSafe(F.col("_t"))).withColumn("_fine", (F.col("_below") < F.col("_want")) & (F.col("_upto") >= F.col("_want")))
+    met = met.filter(~F.col("_fine") | ((u >= F.col("_low")) & (u < F.col("_high"))))
+    met = met.select("_s", "_want", F.when(F.col("_fine"), F.col("_below")).otherwise(0).alias("_before"), place.alias("_last"), tie.alias("_tie"))
+    order = Window.partitionBy("_s").orderBy("_last", "_tie")
+    met = met.withColumn("_k", F.row_number().over(order) + F.col("_before")).withColumn("_equal", F.row_number().over(order) - F.rank().over(order) + 1)
+    last = F.broadcast(met.filter(F.col("_k") == F.col("_want")).select("_s", "_last", "_tie", "_equal"))
+    kept = sf.df.join(last, site.eqNullSafe(F.col("_s")))
+    at = place == F.col("_last")
+    whole = kept.filter((place < F.col("_last")) | (at & (tie < F.col("_tie"))))
+    # Rows that are the same in all columns: as many of them as are still wanted.
+    same = kept.filter(at & (tie == F.col("_tie"))).withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("_s"))).filter(F.col("_k") <= F.col("_equal"))
+    return sf.having(whole.select(*sf.df.columns).unionByName(same.select(*sf.df.columns)))
 
 
 def cyclic_batch(sf: SiteFrame, size: int, step: int) -> SiteFrame:

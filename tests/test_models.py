@@ -58,6 +58,21 @@ def test_minibatch_takes_the_least_hashes(sf, rows):
     assert preprocess.minibatch(sf, 0.3).df.columns == sf.df.columns
 
 
+def test_minibatch_ends_within_equal_ids(spark):
+    hash_ = lambda r: 1.0 if r[1] is None else (r[1] * 1103515245 + 12345) % 2147483648 / 2147483648.0
+    # Ids thrice, of which two rows are the same; a site of one id; a site without a name; rows without an id.
+    rows = [(s, i, float(k // 2)) for s in (0, None) for i in range(200) for k in range(3)] + [(1, 7, float(k % 5)) for k in range(50)] + [(2, None, float(k)) for k in range(9)] + [(2, 3, 0.0)]
+    sf = SiteFrame(spark.createDataFrame(rows, "site int, row_id bigint, x1 double").repartition(5), ("x1",), target=None)
+    for share in (0.05, 0.1, 0.101, 0.25, 0.502, 0.9):
+        got = [tuple(r) for r in preprocess.minibatch(sf, share).df.collect()]
+        assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in preprocess.minibatch(sf.having(sf.df.repartition(3)), share).df.collect())
+        for site in (0, None, 1, 2):
+            own = [r for r in rows if r[0] == site]
+            want = sorted(own, key=hash_)[: int(share * len(own))]
+            assert [r[1] for r in sorted((r for r in got if r[0] == site), key=hash_)] == [r[1] for r in want]
+            assert all(got.count(r) <= rows.count(r) for r in got)
+
+
 def test_cyclic_batch_goes_round(sf, rows):
     for size, step in ((70, 0), (70, 4), (70, 13), (500, 1)):
         got = {r["row_id"] for r in preprocess.cyclic_batch(sf, size, step).df.collect()}

@@ -131,6 +131,21 @@ def test_join_back_beyond_the_bound(spark, monkeypatch):
     assert got == {(i, 1 if i % 2 else i) for i in range(100)}
 
 
+def test_tables_that_grow_with_documents_are_not_broadcast(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(common.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    rows = common.checkpointed(spark.range(300_000).select("id", (F.col("id") % 200_000).alias("fp")))
+    facts = common.checkpointed(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    out = common.join_back(rows, facts, "fp", "n")
+    assert out.filter("first = fp").count() == 300_000 and max(sent) <= common.HEAVY
+    key, sent[:] = (F.xxhash64("id"), F.lit(0).cast("bigint")), []
+    keys = common.checkpointed(rows.filter("id < 200000").select(F.xxhash64("id").alias("k1"), F.lit(0).cast("bigint").alias("k2")))
+    for keep, least, most in ((True, 0, 199_999), (False, 200_000, 299_999)):
+        got = common.picked(rows, keys, key, keep)
+        assert got.agg(F.count("*"), F.min("id"), F.max("id")).first() == (most - least + 1, least, most)
+    assert max(sent) <= common.BITS // 64 // 512
+
+
 # Decontamination.
 
 
